@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, kneser_ney, langid, mixing, ngram_join, packing, quality_rules
+from . import chat, exact_dedup, html_extract, kneser_ney, langid, mixing, ngram_join, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), said)
+    out = chat.formatted(chat.canonical(chat.from_rows(rows.union(extra))))
+    back = chat.read_back(F.col("formatted"))
+    out = out.select("conv_id", "formatted", back.alias("back"), F.array_join(chat.masked(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
 
@@ -122,9 +140,22 @@ g as (select doc_id, rid, t, first_value(doc_id) over (partition by t order by d
 select doc_id, keep_id, group_size, rid = keep_rid as kept, sha256(t) as text_sha256 from g"""
 
 
+CHAT_SQL = r"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized as (select *, replace(replace(replace(role, '\', '\b'), '</turn', '\l/turn'), '### ', '\h## ') as r,
+  replace(replace(replace(text, '\', '\b'), '</turn', '\l/turn'), '### ', '\h## ') as e from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(4 + length(replace(r, ':', '\c')) + 2 + length(e) + 8)::bigint as formatted_chars
+from sized group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality_sql(),
         "op3_mixing": MIXING_SQL,
+        "op5_chat_formatting": CHAT_SQL,
         "op10_exact_dedup": DEDUP_SQL,
     }
