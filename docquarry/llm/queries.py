@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, kneser_ney, langid, mixing, ngram_join, packing, quality_rules
+from . import chat, exact_dedup, gru_lm, html_extract, kneser_ney, langid, mixing, ngram_join, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(_table(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 5) == 1)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
 
