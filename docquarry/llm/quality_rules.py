@@ -29,6 +29,7 @@ RULES = [
     ("repeats", "20 * n_repeat_words <= n_words", "100 * n_repeat_words > 20 * n_words"),
     ("capitals", "10 * n_capitals <= 2 * n_chars", "10 * n_capitals > 4 * n_chars"),
     ("letters", "10 * n_letters >= 9 * word_chars", "10 * n_letters < 7 * word_chars"),
+    ("bars", "n_bars = 0", "10 * n_bars > 2 * n_words"),
     ("shouts", "50 * n_shouts <= n_words", "10 * n_shouts > 3 * n_words"),
 ]
 #: The base filter, all of which must pass.
@@ -36,7 +37,7 @@ BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 #: Fixed values of EM: first guesses of P(bad), P(bad vote | bad), P(bad vote | good); pseudo-count; rounds.
 START_BAD, START_HIT, START_SLIP, PSEUDO, ROUNDS = 0.2, 0.5, 0.02, 1.0, 12
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_capitals", "n_letters", "n_shouts"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_capitals", "n_letters", "n_shouts", "n_bars"]
 
 
 def _kept_chars(text: Column, drop: str) -> Column:
@@ -68,6 +69,7 @@ def signals(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, dict[str, str
         _kept_chars(q(t), r"[^\p{Lu}]+").alias(at["n_capitals"]),
         _kept_chars(q(t), r"[^\p{L}]+").alias(at["n_letters"]),
         F.size(F.regexp_extract_all(q(t), F.lit(r"!(?:[\x20\x09-\x0D]|$)"), F.lit(0))).cast("long").alias(at["n_shouts"]),
+        _kept_chars(q(t), r"[^|]+").alias(at["n_bars"]),
         F.coalesce(window, F.array().cast("array<bigint>")).alias(h),
     )
     # Only where a window repeats are windows sorted with their places; equal neighbours are repeats.

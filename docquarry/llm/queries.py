@@ -106,7 +106,8 @@ counts as (select doc_id, rid, len(w)::bigint as n_words, length(array_to_string
     (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r, 0)::bigint as n_repeat_words,
     len(l)::bigint as n_lines, length(t)::bigint as n_chars, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))::bigint as n_capitals,
     length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))::bigint as n_letters,
-    len(regexp_extract_all(t, '!(?:[\x20\x09-\x0D]|$)'))::bigint as n_shouts
+    len(regexp_extract_all(t, '!(?:[\x20\x09-\x0D]|$)'))::bigint as n_shouts,
+    length(regexp_replace(t, '[^|]+', '', 'g'))::bigint as n_bars
   from w left join repeats using (rid)),
 votes as (select *, ({q.BASE_FAILED}) as base_failed, {votes} from counts),
 patterns as (select {v}, count(*)::double as n from votes group by {v}),
