@@ -49,6 +49,41 @@ def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SIEVE_BITS = 1 << 25  # 4 MB at most, whatever the corpus
+
+
+def _place(*columns: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+
+
+def sieve(rows: DataFrame, *columns: str) -> DataFrame:
+    """A bitmap of the hashes of ``columns``: (bucket, bits), rows of 4 kB, at most SIEVE_BITS in all.  Its bound
+    lets it be broadcast: rows elsewhere that can't match are known where they lie and need no shuffle."""
+    at = _place(*columns)
+    return materialise(rows.groupBy(F.shiftright(at, 15).alias("sv_bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("sv_bits")))
+
+
+def sifted(rows: DataFrame, bitmap: DataFrame, *columns: Column | str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose hash of ``columns`` is in the bitmap (all that match, and few others), and the rest."""
+    at = _place(*columns)
+    both = rows.join(F.broadcast(bitmap), F.shiftright(at, 15) == F.col("sv_bucket"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("sv_bits"), (at.bitwiseAND(F.lit(32767)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int") + 1)
+    found = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
+    keep = [F.col(f"`{c}`") for c in rows.columns]
+    return both.where(found).select(*keep), both.where(~found).select(*keep)
+
+
+def without(docs: DataFrame, gone: DataFrame, digest: Column) -> DataFrame:
+    """``docs`` less the rows whose (doc_id, digest) is in ``gone`` (columns gone_id, gone_digest).
+
+    Only rows that the bitmap of ``gone`` lets through meet it in a join; all others stay where they are."""
+    name = free_name(docs.columns, "digest_")
+    maybe, sure = sifted(docs.withColumn(name, digest), sieve(gone, "gone_id", "gone_digest"), F.col("doc_id").cast(gone.schema["gone_id"].dataType), F.col(name))
+    match = maybe["doc_id"].eqNullSafe(gone["gone_id"]) & (maybe[name] == gone["gone_digest"])
+    return sure.unionByName(maybe.join(gone.hint("merge"), match, "left_anti")).drop(name)
+
+
 def release() -> None:
     """Delete every intermediate table of this process."""
     while _scratch:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, materialise
+from .common import SPACE, free_name, materialise, without
 
 BLOCK = 8192  # code points
 
@@ -107,20 +107,19 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns.  Dropped doc_ids are removed by an anti join.
+    """The rows of ``docs`` that stay, all columns.  Only dropped rows are shuffled.
 
     Rows that share a doc_id are told apart by their text: of fully equal ones one stays.
     """
-    from .common import free_name
-
     verdict = exact_dedup(docs, block)
-    sha = free_name(docs.columns, "sha_")
-    gone = materialise(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("twin")))
-    marked = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
-    same = marked["doc_id"].eqNullSafe(gone["gone_id"]) & (marked[sha] == gone["gone_sha"])
-    left = marked.join(gone.where("not twin"), same, "left_anti")
-    twins = gone.where("twin").select("gone_id", "gone_sha").distinct()
-    if not twins.isEmpty():
-        match = left["doc_id"].eqNullSafe(twins["gone_id"]) & (left[sha] == twins["gone_sha"])
-        left = left.join(twins, match, "left_anti").unionByName(left.join(twins, match, "left_semi").dropDuplicates(["doc_id", sha]))
-    return left.drop(sha)
+    digest = F.sha2(normalised(F.col("text")), 256)
+    twin = F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("twin")
+    gone = materialise(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest"), twin).distinct())
+    left = without(docs, gone.where("not twin").drop("twin"), digest)
+    twins = gone.where("twin").drop("twin")
+    if not twins.isEmpty():  # rows that repeat a doc_id and a text
+        name = free_name(docs.columns, "digest_")
+        marked = left.withColumn(name, digest)
+        match = marked["doc_id"].eqNullSafe(twins["gone_id"]) & (marked[name] == twins["gone_digest"])
+        left = marked.join(twins, match, "left_anti").unionByName(marked.join(twins, match, "left_semi").dropDuplicates(["doc_id", name])).drop(name)
+    return left

@@ -5,7 +5,7 @@
 2. Texts with equal sets are one node, so groups of copies cost nothing further.
 3. Nodes that share a band key are linked to the smallest node of that key (a star, not all pairs); connected
    components of these candidate links hold every pair that shares a key.
-4. Components are checked in blocks of bounded size: pairs of blocks whose set sizes are near enough meet in
+4. A bitmap of fixed size picks candidates' texts where they lie.  Components are checked in blocks of bounded size: pairs of blocks whose set sizes are near enough meet in
    one task, which intersects full shingle sets and returns one row for each node that has a link (the number
    of documents linked, and its class within the task), never pairs.
 5. Components of the verified links are the classes.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sieve, sifted, without
 from .components import components
 
 N = 5
@@ -276,7 +276,7 @@ def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD,
     nodes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()))
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last"))
     star = keyed.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     near = materialise(components(star))
 
@@ -285,7 +285,9 @@ def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD,
     tasks = _tasks(materialise(candidates), ratio, block)
     tasks = materialise(tasks.join(nodes.select("node", "first", "h", "copies"), "node"))
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = tasks.join(text, F.col("first").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")))
+    # only candidates' texts are shuffled; the join is the same at every size
+    text, _ = sifted(text, sieve(tasks, "first", "h"), "id", "th")
+    joined = tasks.hint("merge").join(text, F.col("first").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")))
     rows_in = joined.select("task", "side", "node", "copies", "text").repartition("task").sortWithinPartitions("task")
     found = materialise(rows_in.mapInArrow(_verify(n, threshold), "node long, weight long, root long"))
 
@@ -306,9 +308,8 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: the smallest doc_id of each class, all columns.  Rows that repeat both
     doc_id and text stay or go together."""
     verdict = classes(docs, **options)
-    gone = verdict.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
-    gone = materialise(gone.distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]), "left_anti")
+    gone = verdict.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_digest"))
+    return without(docs, materialise(gone.distinct()), F.xxhash64("text"))
 
 
 __all__ = ["bands_and_rows", "classes", "keep_first", "linked"]
