@@ -15,7 +15,11 @@ empty table; other columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ from .common import materialise
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 256  # hash buckets for each length
-CACHE = 400_000  # words whose ids a Python worker remembers
+CACHE = 800_000  # words whose ids a Python worker remembers
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,24 +44,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A point or comma between an ASCII letter or digit and white space: there the tokenizer always cuts.
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
+
+
+#: Lower-case Latin words: one letter run for the tokenizer, composed already, and unchanged by lower-casing.
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for 256 and on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordIds:
     """Token ids of whole texts through a cache of words.
 
     The tokenizer never joins characters across ASCII white space (it splits on all white space and
-    normalises nothing across it), so a text's ids are those of its white-space words in turn.
+    normalises nothing across it), so a text's ids are those of its white-space words in turn.  It lower-cases
+    and cuts between letters and marks, so capitals and a closing point or comma need no entry of their own;
+    texts with combining marks are left as they are, since composing comes before lower-casing.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
+        # one task is one core: the tokenizer's own threads would only fight over it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        data = text.encode("utf-8", "replace")
+        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
+            data = _STOP.sub(rb" \1", data.lower())
+        return data.split()
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without the end token."""
-        parts = text.encode("utf-8", "replace").split()
+        parts = self.words(text)
         try:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
@@ -65,15 +99,48 @@ class WordIds:
             return b"".join(map(self.known.__getitem__, parts))
 
     def learn(self, parts: list[bytes]) -> None:
-        new = list(set(parts).difference(self.known))
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(set(parts))
+        """Enter all of ``parts``.  When the cache is half full it becomes the older half, and what is met
+        again comes back from there, so frequent words are never learnt twice."""
+        missing = set(parts).difference(self.known)
+        if len(self.known) + len(missing) > self.limit // 2:
+            self.older, self.known = self.known, {}
+            missing = set(parts)
+        new = []
+        for word in missing:
+            if (ids := self.older.get(word)) is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for word, got in zip(some, encode([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(got.ids, dtype="<u4").tobytes()
+        merge, rest = self.tokenizer.model.tokenize, []
+        for word in new:
+            if _LATIN.fullmatch(text := word.decode("utf-8")):
+                # the merges alone, without the steps that leave such a word as it is
+                self.known[word] = _packed([t.id for t in merge(word.decode("latin-1").translate(_LETTERS))])
+            else:
+                rest.append((word, text))
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            for (word, _), got in zip(some, encode([t for _, t in some], add_special_tokens=False), strict=True):
+                self.known[word] = _packed(got.ids)
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+_tools: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The cache for a tokenizer file, one for each Python worker, kept from task to task."""
+    if path not in _tools:
+        _tools[path] = WordIds(path)
+    return _tools[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -81,7 +148,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
