@@ -263,6 +263,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int = HEAD) -> tuple[list[bytes], np.ndarray]:
+    """Words and counts, most frequent first: all words above the lowest count that leaves ``most`` at most.
+
+    The limit comes from the number of words by count, so no task gathers the candidates of all others."""
+    by_count = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(most).collect()
+    total, above = 0, 0
+    for row in by_count:
+        if total + row["n"] > most:
+            above = row["c"]
+            break
+        total += row["n"]
+    head = counts.where(F.col("c") > above).toArrow()
+    words = pc.cast(head.column("word"), pa.binary()).to_pylist()
+    number = head.column("c").to_numpy()
+    order = sorted(range(len(words)), key=lambda k: (-number[k], words[k]))
+    return [words[k] for k in order], number[order]
+
+
 def _numbers(words: list[bytes], rank: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(rank.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
@@ -316,7 +334,8 @@ def fit(texts: DataFrame, chars: int, w: dict[str, np.ndarray], rank: dict[bytes
                 )
 
         some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == turn).select("doc_id", "text")
-        some = some.repartition(shards, F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
+        # shards by volume, not by key: each returns all weights, so there are as many as the corpus needs
+        some = some.repartition(shards).sortWithinPartitions("doc_id", "text")
         parts = materialise(some.mapInArrow(run, "shard long, piece int, tokens long, data binary"))
         top = parts.agg(F.max("shard")).first()[0]
         if top is not None:
@@ -335,10 +354,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     whole = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     ends = int(size["docs"])
     n, v = int(whole["n"] or 0) + ends, int(whole["v"]) + (ends > 0)
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # HEAD rows at most
-    names = pc.cast(head.column("word"), pa.binary()).to_pylist()
+    names, found = _most_frequent(counts)
     # number 0 is the end token, then words by frequency
-    count = np.concatenate([[ends], head.column("c").to_numpy()]).astype(np.int64)
+    count = np.concatenate([[ends], found]).astype(np.int64)
     rank = {w: k for k, w in enumerate(names, 1)}
     listed = count[:VOCABULARY]
     others, kinds = n - int(listed.sum()), max(0, v - len(listed))
