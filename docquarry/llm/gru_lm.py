@@ -9,8 +9,8 @@ Network: a gated recurrent unit over words, with a class-factored softmax: the V
 more class stands for all other words, whose share follows their counts.  So the score is the probability of
 the whole text, whatever its words, and the network starts out as the unigram model.
 
-Training: truncated backpropagation in windows whose state is carried on, on a fixed fraction of the training
-documents.  Shards train side by side from the same weights and a tree of averages joins them, once a round.
+Training: truncated backpropagation in windows whose state is carried on; each training document is in one of
+the rounds.  Shards train side by side from the same weights and a tree of averages joins them, once a round.
 
 Scoring: documents advance side by side in windows, states carried across windows from the first to the last
 token; longer ones go on while shorter ones have ended.
@@ -42,8 +42,7 @@ HIDDEN = 32
 WINDOW = 16
 STREAMS = 64
 RATE = 0.08
-ROUNDS = 2
-SHARE = 32  # a round trains on one in so many training documents
+ROUNDS = 2  # each trains on its own part of the training documents, together on all
 SHARD_CHARS = 4_000_000
 FAN_IN = 16  # shards averaged at once
 GROUP = 800_000  # tokens that a worker scores side by side
@@ -117,6 +116,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row; ``x`` is overwritten."""
+    top = x.max(axis=1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x.sum(axis=1))
+
+
 def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
@@ -128,10 +135,13 @@ def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log P(target | h); target OTHER is the class of all other words."""
     kind = target // MEMBERS
-    logp = _log_softmax(h @ w["wc"].T + w["bc"])[np.arange(len(h)), kind].astype(np.float64)
+    outer = h @ w["wc"].T + w["bc"]
+    logp = outer[np.arange(len(h)), kind].astype(np.float64)
+    logp -= _log_sum(outer)
     for k, rows in _by_class(kind):
-        inner = _log_softmax(h[rows] @ w["ww"][k].T + w["bw"][k])
-        logp[rows] += inner[np.arange(len(rows)), target[rows] % MEMBERS]
+        inner = h[rows] @ w["ww"][k].T + w["bw"][k]
+        mine = inner[np.arange(len(rows)), target[rows] % MEMBERS]
+        logp[rows] += mine - _log_sum(inner)
     return logp
 
 
@@ -206,18 +216,31 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> int:
         dc[np.arange(len(y)), kind] -= 1
         dc *= weight[:, None]
         dh = dc @ w["wc"]
-        inner = []
-        for k, at in _by_class(kind):
-            d = np.exp(_log_softmax(hs[at] @ w["ww"][k].T + w["bw"][k]))
-            d[np.arange(len(at)), y[at] % MEMBERS] -= 1
-            d *= weight[at][:, None]
-            dh[at] += d @ w["ww"][k]
-            inner.append((k, d.T @ hs[at], d.sum(axis=0)))
+        # rows in order of their class: each class multiplies its own slice, the rest is one pass over all
+        order = np.argsort(kind, kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        listed = order[: edges[-1]]
+        met = np.flatnonzero(np.diff(edges))
+        ordered = hs[listed]
+        d = np.empty((len(listed), MEMBERS), dtype=np.float32)
+        for k in met:
+            np.matmul(ordered[edges[k] : edges[k + 1]], w["ww"][k].T, out=d[edges[k] : edges[k + 1]])
+        d += w["bw"][kind[listed]]
+        d = np.exp(_log_softmax(d))
+        d[np.arange(len(listed)), y[listed] % MEMBERS] -= 1
+        d *= weight[listed][:, None]
+        back = np.empty((len(listed), n), dtype=np.float32)
+        grads = np.empty((len(met), MEMBERS, n), dtype=np.float32)
+        for j, k in enumerate(met):
+            part = d[edges[k] : edges[k + 1]]
+            np.matmul(part, w["ww"][k], out=back[edges[k] : edges[k + 1]])
+            np.matmul(part.T, ordered[edges[k] : edges[k + 1]], out=grads[j])
+        dh[listed] += back
         update("wc", dc.T @ hs)
         update("bc", dc.sum(axis=0))
-        for k, grad, bias in inner:
-            update("ww", grad, k)
-            update("bw", bias, k)
+        if len(met):
+            update("ww", grads, met)
+            update("bw", np.add.reduceat(d, edges[met], axis=0), met)
         dh = dh.reshape(len(rows), streams, n)
         carry = np.zeros((streams, n), dtype=np.float32)
         dx = np.zeros((len(rows), streams, 3 * n), dtype=np.float32)
@@ -308,10 +331,12 @@ def _without_up(join):
     return lambda table: join(table.drop_columns(["up"]))
 
 
-def fit(texts: DataFrame, chars: int, w: dict[str, np.ndarray], rank: dict[bytes, int]) -> dict[str, np.ndarray]:
-    """Train ``w`` on fractions of ``texts`` (doc_id, text); ``chars`` is their length, which sets the shards."""
+def fit(texts: DataFrame, chars: int, w: dict[str, np.ndarray], rank: dict[bytes, int]) -> tuple[dict[str, np.ndarray], int]:
+    """``w`` trained on all ``texts`` (doc_id, text), and the number of tokens seen; ``chars`` is the length of
+    the texts, which sets the shards."""
+    seen = 0
     for turn in range(ROUNDS):
-        shards = max(1, round(chars / SHARE / SHARD_CHARS))
+        shards = max(1, round(chars / ROUNDS / SHARD_CHARS))
         sent = texts.sparkSession.sparkContext.broadcast((_flat(w), rank))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,15 +358,16 @@ def fit(texts: DataFrame, chars: int, w: dict[str, np.ndarray], rank: dict[bytes
                     ["shard", "piece", "tokens", "data"],
                 )
 
-        some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == turn).select("doc_id", "text")
+        some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("doc_id", "text")
         # shards by volume, not by key: each returns all weights, so there are as many as the corpus needs
         some = some.repartition(shards).sortWithinPartitions("doc_id", "text")
         parts = materialise(some.mapInArrow(run, "shard long, piece int, tokens long, data binary"))
-        top = parts.agg(F.max("shard")).first()[0]
+        top, tokens = parts.agg(F.max("shard"), F.sum(F.when(F.col("piece") == 0, F.col("tokens")))).first()
         if top is not None:
             w = _unflat(_average(parts, max(2, top + 1)))
+            seen += tokens
         sent.unpersist()
-    return w
+    return w, seen
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -361,7 +387,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     listed = count[:VOCABULARY]
     others, kinds = n - int(listed.sum()), max(0, v - len(listed))
     vocabulary = {w: k for w, k in rank.items() if k < VOCABULARY}
-    w = fit(learn, int(size["chars"] or 0), start_weights(listed, others), vocabulary)
+    w, _ = fit(learn, int(size["chars"] or 0), start_weights(listed, others), vocabulary)
 
     log_base = float(np.log10(n + 0.5 * (v + 1)))
     log_other = float(np.log10(others + 0.5 * (kinds + 1)))

@@ -357,6 +357,13 @@ def test_recurrent_model_learns():
     assert gru_lm.document_scores(w, docs[:20]).sum() > 0.5 * before
 
 
+def test_every_training_document_is_trained_on(spark):
+    rows = [(k, "a b " * (k % 7 + 1)) for k in range(200)] + [(None, "a b c")]
+    start = gru_lm.start_weights(np.ones(4), 1.0)
+    _, seen = gru_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), 2000, start, {b"a": 1, b"b": 2})
+    assert seen == sum(len(t.split()) + 1 for _, t in rows)
+
+
 def test_base_scores_by_brute_force(spark, odd, none):
     rows = odd.select("doc_id", "text").collect()
     held = lambda d: fold(d, 5) == 1
