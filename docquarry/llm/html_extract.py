@@ -3,8 +3,10 @@
 Markup becomes lines, one for each block element.  A line weighs as many characters as it has outside links,
 and nothing inside containers that are not the article (menus, notices, forms, ...).  Weights are summed over
 sliding windows of lines; a surge point is where the sum rises over a threshold, a dive point where it falls
-back, and what lies between is the article.  Where a page marks its article, lines outside it weigh nothing
-and lines inside are above the threshold, so that the surge and dive points are its ends.
+back, and what lies between any two such points is the article.  Where a page marks its article, and the marked
+lines hold at least half of the page's characters outside links, lines outside it weigh nothing and lines inside
+are above the threshold, so that the surge and dive points are its ends; article and main elements go before
+classes and ids.
 
 Pages are independent: no shuffle, and memory is bounded by one page.
 
@@ -32,12 +34,15 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_ENDING = frozenset("p li dt dd td th tr option".split())
-#: Words of class, id or role attributes that mark what is not the article.
+#: Elements that may be marked as something else than the article.
+CONTAINERS = frozenset("div section ul ol dl table tbody tr td center details figure".split())
+#: Words of class, id or role attributes that mark what is not the article; words beside them.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead header footer topbar toolbar comment comments reply replies disqus discussion "
     "share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager toc copyright legal".split()
 )
+BESIDE = frozenset("site page box bar wrapper wrap container list area block links link form top bottom left right global inner outer slot unit group panel buttons".split())
 ARTICLE_MARKS = frozenset("article content post entry story main articlebody maincontent".split())
 
 _RAW = re.compile(r"<!--.*?-->|<!\[CDATA\[|\]\]>|<(" + "|".join(RAW) + r")\b[^>]*+(?<!/)>.*?</\1\s*+>", re.S | re.I)
@@ -45,31 +50,46 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""", re.I)
 
 
-def _marks(attributes: str) -> set[str]:
-    out: set[str] = set()
-    for name, value in _ATTRIBUTE.findall(attributes):
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and "true" in value):
-            out.add("popup")
-        out.update(re.split(r"[^a-z0-9]+", value.lower()))
-    return out
+def _boilerplate(token: str) -> bool:
+    """Whether a whole class, id or role says so: ``cookie-banner`` does, ``related-work`` doesn't."""
+    parts = set(re.split(r"[-_]+", token)) - {""}
+    return bool(parts & MARKS) and parts <= MARKS | BESIDE
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside a marked article) of each line outside other containers."""
+def _marks(element: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is marked as something else than the article, and whether as the article."""
+    tokens: dict[str, list[str]] = {}
+    words: set[str] = set()
+    hidden = False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.lower().strip("\"'")
+        hidden |= name == "hidden" or (name == "aria-hidden" and "true" in value)
+        tokens[name] = value.split()
+        words.update(re.split(r"[^a-z0-9]+", value))
+    named = tokens.get("class", []) + tokens.get("role", [])
+    # ids of sections and headings are made from their titles
+    if element != "section" and "section" not in named:
+        named = named + tokens.get("id", [])
+    return hidden or (element in CONTAINERS and any(map(_boilerplate, named))), bool(words & ARTICLE_MARKS) and element in ("div", "section", "td")
+
+
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters outside links, 2 inside an article element, 1 inside one marked as the article, else 0)
+    of each line outside other containers."""
     page = _RAW.sub(lambda m: " " if m[1] and m[1].lower() in ("svg", "math") else "", page)
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     link_parts: list[str] = []
     state = {"link": False}
-    article: list[str] = []  # open elements since the article began, same name as it
-    article_name = ""
+    # name of the marked element and number of its name's open elements since it began: by class or id, by element
+    marked, element = ["", 0], ["", 0]
     skip_name, skip_depth, skip_inline = "", 0, False
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(link_parts)).split()))
-            out.append((text, len(text) - linked, bool(article)))
+            out.append((text, len(text) - linked, 2 if element[1] else 1 if marked[1] else 0))
         parts.clear()
         link_parts.clear()
 
@@ -110,23 +130,24 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             end_line()
             state["link"] = False
         if close:
-            if article and name == article_name:
-                article.pop()
+            for began in (marked, element):
+                if began[1] and name == began[0]:
+                    began[1] -= 1
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        if article and name == article_name:
-            article.append(name)
-        marks = _marks(m[3]) if m[3] else set()
-        outside = name in OUTSIDE or (name == "header" and not article) or (marks & MARKS and name not in ("html", "body", "article", "main"))
+        other, own = _marks(name, m[3]) if m[3] else (False, False)
+        outside = name in OUTSIDE or (name == "header" and not marked[1] and not element[1]) or (other and name not in ("html", "body", "article", "main"))
         if outside and (name in SELF_ENDING or lower.find("</" + name, at) >= 0):
             if name not in BLOCK:
                 add(" ")
             skip_name, skip_depth = name, 1
             continue
-        if not article and (name in ("article", "main") or marks & ARTICLE_MARKS and name in ("div", "section", "td")):
-            article_name = name
-            article.append(name)
+        for began, begins in ((marked, own), (element, name in ("article", "main"))):
+            if began[1] and name == began[0]:
+                began[1] += 1
+            elif not began[1] and begins:
+                began[:] = [name, 1]
     add(page[at:])
     end_line()
     return out
@@ -137,14 +158,17 @@ def article_text(page: str | None, window: int = WINDOW, surge: int = SURGE) ->
     found = lines(page or "")
     if not found:
         return ""
-    marked = any(inside for *_, inside in found)
-    weight = [(max(own, surge) if inside else 0) if marked else own for _, own, inside in found]
+    whole = sum(own for _, own, _ in found)
+    # a mark that holds less than half of the text is on something else
+    held = {k: sum(own for _, own, inside in found if inside >= k) for k in (2, 1) if any(inside >= k for *_, inside in found)}
+    marked = next((k for k, own in held.items() if 2 * own >= whole), 0)
+    weight = [(max(own, surge) if inside >= marked else 0) if marked else own for _, own, inside in found]
     n = len(found)
     total, run = [0] * n, 0
     for i in range(n - 1, -1, -1):
         run += weight[i] - (weight[i + window] if i + window < n else 0)
         total[i] = run
-    regions: list[tuple[int, int, int]] = []  # mass, begin, end
+    regions: list[tuple[int, int]] = []  # begin, end
     i = 0
     while i < n:
         if total[i] < surge or not weight[i]:
@@ -159,15 +183,10 @@ def article_text(page: str | None, window: int = WINDOW, surge: int = SURGE) ->
         i = max(i, end)
         while not weight[end - 1]:
             end -= 1
-        regions.append((sum(weight[begin:end]), begin, end))
+        regions.append((begin, end))
     if not regions:
         return "" if marked else "\n".join(t for t, own, _ in found if own)
-    if marked:
-        keep = [(b, e) for _, b, e in regions]
-    else:
-        _, b, e = max(regions, key=lambda r: (r[0], -r[1]))
-        keep = [(b, e)]
-    return "\n".join(found[k][0] for b, e in keep for k in range(b, e) if not marked or found[k][2])
+    return "\n".join(found[k][0] for b, e in regions for k in range(b, e) if found[k][2] >= marked)
 
 
 def extract(pages: DataFrame) -> DataFrame:

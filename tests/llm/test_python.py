@@ -207,6 +207,23 @@ def test_pages(page, text):
     assert html_extract.article_text(page) == text
 
 
+LONG = ("word " * 40).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="post-meta">By X</div><div class="text"><p>{LONG}</p></div>', f"By X\n{LONG}"),
+        (f'<div class="main-image">I</div><p>{LONG}</p><article class="teaser">T</article><p>{LONG}</p>', f"I\n{LONG}\nT\n{LONG}"),
+        (f'<article><h2 id="related-work">Related work</h2><p>{LONG}</p><section id="discussion"><p>{LONG}</p></section><p class="legal">Law</p></article>', f"Related work\n{LONG}\n{LONG}\nLaw"),
+        (f"<p>{LONG}</p><ul>" + "<li><a href=x>more</a>" * 9 + f"</ul><p>{LONG} end</p>", f"{LONG}\n{LONG} end"),
+        (f'<div class="content"><p>{LONG}</p><div class="cookie-banner"><p>{LONG}</p></div></div><p>After</p>', LONG),
+    ],
+)
+def test_marks_lose_no_article_text(page, text):
+    assert html_extract.article_text(page) == text
+
+
 def test_unclosed_markup_ends():
     assert html_extract.article_text("<" * 50_000 + "<nav><p>x") is not None
     assert html_extract.article_text("<a '" * 20_000) is not None
