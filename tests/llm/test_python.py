@@ -324,6 +324,22 @@ def test_classifier_odd_rows(spark, odd, none):
     assert kneser_ney.classify(odd, labels.limit(0)).where("kept").count() == 6
 
 
+def test_each_language_has_its_sample_and_quantile(spark):
+    rng = random.Random(9)
+    text = lambda letters: " ".join(rng.choice(letters) for _ in range(rng.randint(3, 12)))
+    rows = [(k, "en", text("abcdef")) for k in range(400)] + [(k, "fi", text("uvwxyz")) for k in range(400, 430)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    learnt = {r["good_id"] for r in kneser_ney.sample(docs, kneser_ney.trusted(labels), 30).collect()}
+    assert Counter("en" if k < 400 else "fi" for k in learnt) == {"en": 15, "fi": 15}
+    assert not any(fold(k, kneser_ney.HELD_BACK) == 0 for k in learnt)
+    got = kneser_ney.classify(docs, labels, most=30).collect()
+    for lang in ("en", "fi"):
+        unseen = sorted(r["perplexity"] for r in got if r["lang"] == lang and r["doc_id"] not in learnt)
+        want = unseen[math.ceil(kneser_ney.QUANTILE * len(unseen)) - 1] * kneser_ney.SLACK
+        assert all(r["threshold"] == pytest.approx(want) for r in got if r["lang"] == lang)
+
+
 # Recurrent scoring
 
 
