@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import amounts, coerce, geometry, rules, text
 from ..operators import blocks as block_ops
@@ -509,7 +510,8 @@ def fuzzy_dealers(spark, sf):
 @query()
 def fuzzy_models(spark, sf):
     names = _table(spark, sf, "part").select(F.col("p_name").alias("name"))
-    master = names.distinct().orderBy("name").limit(40).select(F.monotonically_increasing_id().alias("pos"), "name")
+    # positions without gaps: the master list is cut into chunks by them
+    master = names.distinct().select((F.row_number().over(Window.orderBy("name")) - 1).alias("pos"), "name")
     return matching.resolve(names.distinct(), master, "model")
 
 

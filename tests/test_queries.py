@@ -69,6 +69,20 @@ def test_runs(name, spark, data):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_models_meet_the_whole_list(spark, data):
+    from docquarry.functions import fuzzy
+    from docquarry.functions.text import match_key
+
+    names = spark.read.parquet(f"{data}/part.parquet").select("p_name").distinct().withColumn("key", match_key("p_name"))
+    master = sorted((r["p_name"], r["key"]) for r in names.collect())
+    rows = QUERIES["fuzzy_models"](spark, data).collect()
+    assert sorted(r["name"] for r in rows) == [name for name, _ in master]
+    keys = dict(master)
+    for r in rows:
+        score, _, name = max((fuzzy.best("model", keys[r["name"]], key), -pos, name) for pos, (name, key) in enumerate(master))
+        assert (r["matched"], round(r["score"], 6)) == (name, round(score, 6))
+
+
 def test_records_are_valid(spark, data):
     rows = QUERIES["document_records"](spark, data).select("doc_id", "confidence", "valid").collect()
     assert rows and len(rows) == len({r["doc_id"] for r in rows})
