@@ -12,7 +12,9 @@ of assistant turns.  All of it is one projection over built-in functions.
 Defined results: a record that is not JSON, or whose fingerprint no mapping has, gets a null layout and null
 turns; null texts and roles are empty; empty lists give no turns and an empty text; turns of ``from_rows`` with
 equal numbers are ordered by role and text; a null conversation id is one conversation; an empty table gives
-an empty table; other columns are carried through.  Records are bounded by Spark's VARIANT size limit.
+an empty table; other columns are carried through.  Spark parses no string over LONGEST characters and no record
+over VARIANT's size limit: conversations of ``from_rows`` beyond them keep their turns, which need no parsing;
+other records that are not parsed and are longer than LONGEST get the layout ``too_long`` and null turns.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ END = "</turn>\n"
 #: Written in this order, read back in reverse.
 ESCAPES = [("\\", "\\b"), ("</turn", "\\l/turn"), ("### ", "\\h## ")]
 ROLE_ESCAPE = (":", "\\c")
+#: Fixed value: characters of the longest string that Spark's JSON reader takes.
+LONGEST = 20_000_000
 
 
 def shape(record: Column) -> Column:
@@ -83,8 +87,10 @@ def _turns(v: Column, mapping: dict) -> Column:
     return F.array(*turns) if turns else F.array().cast("array<struct<role:string,text:string>>")
 
 
-def canonical(df: DataFrame, record: str = "record") -> DataFrame:
-    """``df`` with ``layout`` and ``turns`` (array of role, text) of its JSON column."""
+def canonical(df: DataFrame, record: str = "record", messages: str | None = None) -> DataFrame:
+    """``df`` with ``layout`` and ``turns`` (array of role, text) of its JSON column.
+
+    ``messages`` names a column of the same turns (array of content, role) for records that are not parsed."""
     names = [free_name(df.columns, x) for x in ("layout", "turns", "fp_", "v_")]
     layout, turns, fp, v = names
     df = df.withColumn(fp, fingerprint(F.col(record))).withColumn(v, F.try_parse_json(F.col(record)))
@@ -93,6 +99,11 @@ def canonical(df: DataFrame, record: str = "record") -> DataFrame:
         here = F.col(fp) == hashlib.sha256(path.encode()).hexdigest()
         name = F.when(here, F.lit(mapping["name"])).otherwise(name)
         value = F.when(here, _turns(F.col(v), mapping)).otherwise(value)
+    if messages is not None:
+        unread = F.col(v).isNull() & F.col(messages).isNotNull()
+        name = F.when(unread, F.lit("messages")).otherwise(name)
+        value = F.when(unread, F.transform(messages, lambda x: _turn(x["role"], x["content"]))).otherwise(value)
+    name = F.when(F.col(v).isNull() & (F.length(record) > LONGEST) & name.isNull(), F.lit("too_long")).otherwise(name)
     return df.withColumn(layout, name).withColumn(turns, value).drop(fp, v)
 
 
@@ -149,8 +160,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): one ``messages`` record per conversation of a table with one row per turn."""
+    """(conv_id, messages, record): one ``messages`` record per conversation of a table with one row per turn,
+    and its turns as an array."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))
     message = F.transform("m", lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
-    return lists.select("conv_id", F.to_json(F.struct(message.alias("messages"))).alias("record"))
+    lists = lists.select("conv_id", message.alias("messages"))
+    return lists.select("conv_id", "messages", F.to_json(F.struct("messages")).alias("record"))

@@ -39,7 +39,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
     extra = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), said)
-    out = chat.formatted(chat.canonical(chat.from_rows(rows.union(extra))))
+    out = chat.formatted(chat.canonical(chat.from_rows(rows.union(extra)), messages="messages"))
     back = chat.read_back(F.col("formatted"))
     out = out.select("conv_id", "formatted", back.alias("back"), F.array_join(chat.masked(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -166,3 +166,13 @@ def test_chat_round_trip(spark):
     assert got[1]["loss"] == [t for _, _, role, t in rows if role == "assistant"]
     assert [tuple(t) for t in got[2]["back"]] == [("", "")] and got[2]["loss"] == []
     assert got[1]["formatted"].count("</turn>") == len(rows)
+
+
+def test_conversations_too_long_to_parse_keep_their_turns(spark):
+    rows = spark.range(4).select((F.col("id") / 2).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.expr("repeat(char(97 + id), cast(id as int))").alias("text"))
+    rows = rows.withColumn("text", F.when(F.col("turn") == 0, F.repeat(F.lit("a"), F.lit(20_500_000))).otherwise(F.col("text")))
+    out = chat.formatted(chat.canonical(chat.from_rows(rows), messages="messages"))
+    got = {r["conv_id"]: tuple(r)[1:] for r in out.select("conv_id", "layout", F.size("turns"), F.length("formatted"), F.transform("turns", lambda t: F.length(t["text"]))).collect()}
+    assert got == {0: ("messages", 2, 20_500_000 + 1 + 41, [20_500_000, 1]), 1: ("messages", 2, 2 + 3 + 41, [2, 3])}
+    alone = chat.canonical(chat.from_rows(rows).drop("messages"))
+    assert {r["conv_id"]: r["layout"] for r in alone.select("conv_id", "layout").collect()} == {0: "too_long", 1: "messages"}
