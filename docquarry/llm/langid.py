@@ -7,8 +7,9 @@ reach of a long text's end and bound memory.  Texts are compared as lower-case l
 is one space.  For short texts, where sizes differ by few bytes, a slower level finds shorter matches.
 
 The dictionaries are fitted on a bounded sample: at most SAMPLE_DOCS texts of each language, those with the
-smallest hash of doc_id, and PIECE code points of each, DICTIONARY bytes in all.  So what is broadcast has a
-fixed size for each language.  Everything else reads all texts whole.
+smallest hash of doc_id, and PIECE code points of each, DICTIONARY bytes in all.  A text's share comes from SPREAD
+places, one at a hash-chosen point of each part of the whole text.  So what is broadcast has a fixed size for each
+language.  Everything else reads all texts whole.
 
 Defined results: null, empty and letterless texts are ``und``, score 0; with no labelled text everything is
 ``und``; equal sizes are decided by the order of language codes; rows with a null lang are predicted and never
@@ -30,6 +31,7 @@ from .common import materialise
 
 SAMPLE_DOCS = 400
 PIECE = 1200
+SPREAD = 4
 DICTIONARY = 110_000
 CHUNK = 4096  # bytes compressed at once
 LEVEL = 3
@@ -50,6 +52,27 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def _places(text: Column, key: Column) -> Column:
+    """SPREAD pieces of a text, PIECE code points in all: one from each of SPREAD equal parts, where ``key`` says."""
+    n, size = F.length(text), PIECE // SPREAD
+
+    def one(k: int) -> Column:
+        begin, end = F.floor(n * k / SPREAD), F.floor(n * (k + 1) / SPREAD)
+        room = F.greatest(end - begin - size, F.lit(0))
+        at = begin + F.pmod(F.xxhash64(key, F.lit(k)), room + 1)
+        return F.substring(text, (at + 1).cast("int"), F.least(end - begin, F.lit(size)).cast("int"))
+
+    return F.array(*[one(k) for k in range(SPREAD)])
+
+
+def _share(places: tuple[str, ...], size: int) -> bytes:
+    """``size`` bytes of letters from all places alike; what one lacks, the next ones may add."""
+    out = b""
+    for k, piece in enumerate(places):
+        out += letters(piece)[: (size - len(out)) // (len(places) - k)]
+    return out
+
+
 def dictionaries(docs: DataFrame, learn: Column, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Raw dictionary content of each language among the rows where ``learn`` holds."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UND))
@@ -58,14 +81,14 @@ def dictionaries(docs: DataFrame, learn: Column, sample: int = SAMPLE_DOCS) -> d
     ids = labelled.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("k"))
     ids = materialise(ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", F.col("lang").alias("l")))
     texts = labelled.join(ids, (labelled["doc_id"] == ids["doc_id"]) & (labelled["lang"] == ids["l"]), "left_semi")
-    found: dict[str, list[tuple[int, str]]] = {}
-    for row in texts.select("doc_id", "lang", F.substring("text", 1, PIECE).alias("t")).collect():
-        found.setdefault(row["lang"], []).append((row["doc_id"], row["t"]))
+    found: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
+    for row in texts.select("doc_id", "lang", _places(F.col("text"), F.col("doc_id")).alias("t")).collect():
+        found.setdefault(row["lang"], []).append((row["doc_id"], tuple(row["t"])))
     out = {}
     for lang, rows in sorted(found.items()):
         pieces = list(dict.fromkeys(t for _, t in sorted(rows)))
         share = max(64, DICTIONARY // max(1, len(pieces)))
-        out[lang] = b"".join(letters(p)[:share] for p in pieces)[:DICTIONARY]
+        out[lang] = b"".join(_share(p, share) for p in pieces)[:DICTIONARY]
     return out
 
 

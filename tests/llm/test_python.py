@@ -241,6 +241,16 @@ def test_language_accuracy(spark, data):
     assert all(r["held_out"] == (fold(r["doc_id"], 4) == 2) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_dictionaries_know_the_bodies(spark):
+    words = {"xx": "kala vesi talo", "yy": "brot wasser haus"}
+    rows = [(k, lang, "copyright notice all rights reserved " * 60 + f"{words[lang]} " * 300) for k in range(400) for lang in words]
+    content = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True))
+    assert all(part.encode() in content[lang] and b"rights reserved" in content[lang] for lang, said in words.items() for part in said.split())
+    assert all(len(c) <= langid.DICTIONARY for c in content.values())
+    judge = langid.Judge(content)
+    assert all(judge(f"{said} " * 20)[0] == lang for lang, said in words.items())
+
+
 def test_language_odd_rows(odd, none):
     content = langid.dictionaries(odd, F.lit(True))
     assert {"en", "de"} <= set(content)
