@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _scratch: list[tuple[SparkSession, str]] = []
+_own_dir: str | None = None
 
 
 def words(text: Column) -> Column:
@@ -28,12 +30,20 @@ def n_words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder of its own, kept for the process; a cluster gets
+    an error, since its machines share no such folder."""
+    global _own_dir
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="docquarry-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return "file://" + _own_dir
 
 
 def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -84,14 +94,22 @@ def without(docs: DataFrame, gone: DataFrame, digest: Column) -> DataFrame:
     return sure.unionByName(maybe.join(gone.hint("merge"), match, "left_anti")).drop(name)
 
 
-def release() -> None:
-    """Delete every intermediate table of this process."""
-    while _scratch:
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_mark() -> int:
+    """A point in the order of intermediate tables, for ``release``."""
+    return len(_scratch)
+
+
+def release(mark: int = 0) -> None:
+    """Delete the intermediate tables made since ``mark``, or all of this process; nothing may read them later."""
+    while len(_scratch) > mark:
         spark, path = _scratch.pop()
         try:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             return
 

@@ -1,15 +1,24 @@
 """Similarity join on word n-grams: MinHash banding, then verification on full n-gram sets.
 
-1. Each whole text becomes its set of five-word shingles (64-bit hashes), a MinHash signature and band keys;
-   bands and rows are chosen for a target recall at the threshold.
+1. Each whole text becomes its set of five-word shingles (64-bit hashes) and a MinHash signature of one byte a
+   hash; bands and rows are chosen for a target recall at the threshold.
 2. Texts with equal sets are one node, so groups of copies cost nothing further.
-3. Nodes that share a band key are linked to the smallest node of that key (a star, not all pairs); connected
-   components of these candidate links hold every pair that shares a key.
-4. A bitmap of fixed size picks candidates' texts where they lie.  Components are checked in blocks of bounded size: pairs of blocks whose set sizes are near enough meet in
-   one task, which intersects full shingle sets and returns one row for each node that has a link (the number
-   of documents linked, and its class within the task), never pairs.
+3. Nodes that share a band key meet in that key's task, a hot key's in several tasks for pairs of its blocks.
+   Only signatures travel.  A pair whose set sizes allow the threshold and whose signatures agree in at least
+   ``least_agreement`` places (which loses AGREEMENT_LOSS of the pairs at the threshold) is a candidate; a task
+   returns a star for each group that candidates connect, never pairs.
+4. Texts of nodes with a candidate are picked by a bitmap of fixed size where they lie.  Connected groups of
+   candidates are verified on full shingle sets: a small group in one task, a larger one cut by set size and
+   into blocks, where each two blocks near enough in size meet.  A text travels once, or in a group of m nodes at
+   most 3 sqrt(m) times (3 m / MOST_BLOCK beyond MOST_BLOCK squared).  A task returns one row for each node that
+   has a link (the number of documents linked, and its class within the task).
 5. Components of the verified links are the classes.
 
+Worst case: every node's number of links is exact, so a group of m different near copies costs m^2 / 2 set
+comparisons, spread over about m / 2 tasks; so does a chain of texts whose neighbours lie between the agreement
+limit (a similarity of about 0.68) and the threshold.  Texts that share less, such as a site's boilerplate, meet
+by chance in some bands and cost a comparison of signatures for each such meeting.
+
 Defined results: words are runs of non-white-space, compared as they are; texts of one to four words are one
 shingle of all their words; null, empty and blank texts have no shingle, are linked to nothing and are classes
 of their own; equal texts are linked to one another; rows that repeat a doc_id are separate rows; an empty
@@ -18,11 +27,12 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, sieve, sifted, without
@@ -32,7 +42,9 @@ N = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction, so that comparisons are exact
 RECALL = 0.9999  # of pairs at the threshold
 MAX_HASHES = 192
-BLOCK = 256  # nodes of a component that meet those of another block in one task
+AGREEMENT_LOSS = 1e-5  # of pairs at the threshold, by comparing signatures before sets
+BLOCK, MOST_BLOCK = 32, 256  # nodes of a group that meet those of another block in one task: its square root, between these
+KEY_BLOCK, MOST_KEY_BLOCK = 64, 1024  # signatures of a band key: four times the square root, between these
 
 #: Odd multipliers of the hash functions.
 BASE = 0x9E3779B97F4A7C15
@@ -52,6 +64,16 @@ def bands_and_rows(threshold: float, recall: float = RECALL, most: int = MAX_HAS
     return most, 1
 
 
+def least_agreement(threshold: float, hashes: int, loss: float = AGREEMENT_LOSS) -> int:
+    """The largest number of places in which all but ``loss`` of the pairs at ``threshold`` agree."""
+    below, chance = 0.0, [math.comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k) for k in range(hashes + 1)]
+    for k in range(hashes + 1):
+        below += chance[k]
+        if below > loss:
+            return k
+    return hashes
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX1)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
@@ -113,22 +135,19 @@ class Shingler:
 
 
 class Signer:
-    """Band keys of a shingle set."""
+    """One byte for each hash function: the least hash of the set, scrambled."""
 
-    def __init__(self, bands: int, rows: int):
+    def __init__(self, hashes: int):
         rng = np.random.default_rng(SEED)
-        self.bands, self.rows = bands, rows
-        self.a = rng.integers(1, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-        self.factor = _mix(np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+        self.a = rng.integers(1, 1 << 32, hashes, dtype=np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
+    def __call__(self, grams: np.ndarray) -> bytes:
         short = (grams >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
         for k in range(0, len(short), 2048):
             np.minimum(low, (short[k : k + 2048, None] * self.a + self.b).min(axis=0), out=low)
-        rows = (low.reshape(self.bands, self.rows).astype(np.uint64) * self.factor).sum(axis=1, dtype=np.uint64)
-        return _mix(rows + _mix(np.arange(self.bands, dtype=np.uint64)))
+        return (_mix(low.astype(np.uint64) * np.uint64(BASE)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -143,23 +162,111 @@ def _portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 2
                 begin, held = k + 1, 0
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, h (a hash of the text as it is), n (shingles), f1 and f2 (128 bits that stand for the set), keys
-    (one for each band)."""
+def signatures(docs: DataFrame, n: int, hashes: int) -> DataFrame:
+    """doc_id, h (a hash of the text as it is), n (shingles), f1 and f2 (128 bits that stand for the set), sig (one
+    byte for each hash function)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer = Shingler(n), Signer(bands, rows)
+        shingler, signer = Shingler(n), Signer(hashes)
         for batch, texts in _portions(batches, 2):
             sets = shingler.sets(texts)
             size = np.array([len(s) for s in sets], dtype=np.int64)
             f1 = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
             f2 = np.array([_mix(s ^ np.uint64(SEED)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-            keys = [signer(s).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size), pa.array(f1), pa.array(f2), flat], ["doc_id", "h", "n", "f1", "f2", "keys"])
+            sig = pa.array([signer(s) if len(s) else b"" for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size), pa.array(f1), pa.array(f2), sig], ["doc_id", "h", "n", "f1", "f2", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("text")).mapInArrow(run, "doc_id long, h long, n long, f1 long, f2 long, sig binary")
+
+
+def band_keys(sig: Column, bands: int, rows: int) -> Column:
+    """One key for each band of a signature."""
+    return F.array(*[F.xxhash64(F.lit(k), F.substring(sig, k * rows + 1, rows)) for k in range(bands)])
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("text")).mapInArrow(run, "doc_id long, h long, n long, f1 long, f2 long, keys array<long>")
+def _block(size: Column, factor: int, least: int, most: int) -> Column:
+    """Number of blocks in which a group of ``size`` is cut."""
+    return F.ceil(size / F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(factor * F.sqrt(size))))).cast("int")
+
+
+def _meetings(own: Column, blocks: Column) -> Column:
+    """Array of (low, high, side) for a row of block ``own``: every pair of blocks that it is in."""
+    each = F.sequence(F.lit(0), blocks - 1)
+    side = lambda x: F.when(own == x, 0).when(own < x, 1).otherwise(2).cast("int")
+    return F.transform(each, lambda x: F.struct(F.least(own, x).cast("int").alias("low"), F.greatest(own, x).cast("int").alias("high"), side(x).alias("side")))
+
+
+def groups(sig: np.ndarray, size: np.ndarray, agreement: int, threshold: tuple[int, int]) -> np.ndarray:
+    """For each row of ``sig`` the first row of its group: rows that candidate pairs connect.
+
+    Each row found is compared with the rows not found yet only, so a group of near copies costs its size and not its
+    square."""
+    m = len(sig)
+    above, below = threshold
+    root = np.full(m, -1)
+    left = np.arange(m)
+    while len(left):
+        first, left = left[0], left[1:]
+        root[first] = first
+        found = [first]
+        while found and len(left):
+            at = found.pop()
+            near = (size[left] * below >= size[at] * above) & (size[at] * below >= size[left] * above)
+            near[near] = (sig[left[near]] == sig[at]).sum(axis=1, dtype=np.int32) >= agreement
+            new = left[near]
+            root[new] = first
+            found.extend(new)
+            left = left[~near]
+    return root
+
+
+def _candidates(agreement: int, threshold: tuple[int, int]):
+    """Partition function over (task, node, n, sig) sorted by task: (a, b) for each row that a candidate pair
+    connects to row b of its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        task = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            node, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            sig = np.concatenate([h[2] for h in held])
+            held.clear()
+            root = groups(sig, n, agreement, threshold)
+            some = root != np.arange(len(root))
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], ["a", "b"])
+
+        for batch in batches:
+            names, node, n = (batch.column(k).to_numpy() for k in (0, 1, 2))
+            if not len(names):
+                continue
+            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), dtype=np.uint8).reshape(len(names), -1)
+            edges = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if names[lo] != task and held:
+                    yield from flush()
+                task = names[lo]
+                held.append((node[lo:hi], n[lo:hi], sig[lo:hi]))
+        if held:
+            yield from flush()
+
+    return run
+
+
+def candidates(nodes: DataFrame, bands: int, rows: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) links whose components hold every candidate pair of ``nodes`` (node, n, sig)."""
+    keyed = nodes.select("node", F.explode(band_keys(F.col("sig"), bands, rows)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialise(shared.select("key", _block(F.col("members"), 4, KEY_BLOCK, MOST_KEY_BLOCK).alias("blocks")))
+    # nodes' signatures meet their shared keys by node: keys that nobody shares carry none
+    met = keyed.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("key", "blocks")).alias("at"))
+    met = nodes.select("node", "n", "sig").join(met, "node").withColumn("at", F.explode("at"))
+    own = F.pmod(F.xxhash64("node", F.col("at.key")), F.col("at.blocks")).cast("int")
+    met = met.withColumn("m", F.explode(_meetings(own, F.col("at.blocks"))))
+    met = met.select(F.xxhash64("at.key", "m.low", "m.high").alias("task"), "node", "n", "sig")
+    run = _candidates(least_agreement(threshold[0] / threshold[1], bands * rows), threshold)
+    return met.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], cross: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
@@ -238,14 +345,15 @@ def _verify(n: int, threshold: tuple[int, int]):
     return run
 
 
-def _tasks(candidates: DataFrame, ratio: float, block: int) -> DataFrame:
-    """(node, task, side): components up to ``block`` nodes are one task.  Larger ones are cut by size class
-    (neighbouring classes cover every pair whose sizes allow the threshold), then by hash into blocks, and
-    each pair of blocks of equal or neighbouring classes is a task."""
-    small = F.col("members") <= block
+def _tasks(grouped: DataFrame, ratio: float, block: int, most: int) -> DataFrame:
+    """(node, task, side) of nodes (node, n, root, members): groups of up to ``2 * block`` nodes are one task.  Larger
+    ones are cut by size class (neighbouring classes cover every pair whose sizes allow the threshold), then by hash
+    into blocks, and each pair of blocks of equal or neighbouring classes is a task."""
+    small = F.col("members") <= 2 * block
     grade = F.when(small, F.lit(0)).otherwise(F.floor(F.log(F.col("n")) / F.lit(-np.log(ratio)) + 1e-9)).cast("int")
-    df = candidates.withColumn("grade", grade)
-    blocks = materialise(df.groupBy("root", "grade").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    df = grouped.withColumn("grade", grade)
+    cut = F.when(F.max("members") <= 2 * block, F.lit(1)).otherwise(_block(F.count("*"), 1, block, most))
+    blocks = materialise(df.groupBy("root", "grade").agg(cut.alias("blocks")))
     here = blocks.select(F.col("root").alias("hr"), F.col("grade").alias("hg"), F.col("blocks").alias("b0"))
     above = blocks.select(F.col("root").alias("ar"), F.col("grade").alias("ag"), F.col("blocks").alias("b1"))
     below = blocks.select(F.col("root").alias("br"), F.col("grade").alias("bg"), F.col("blocks").alias("b2"))
@@ -253,36 +361,33 @@ def _tasks(candidates: DataFrame, ratio: float, block: int) -> DataFrame:
     plan = materialise(plan.join(below, (F.col("hr") == F.col("br")) & (F.col("hg") - 1 == F.col("bg")), "left").select("hr", "hg", "b0", F.coalesce("b1", F.lit(0)).alias("b1"), F.coalesce("b2", F.lit(0)).alias("b2")))
     df = df.join(plan, (F.col("root") == F.col("hr")) & (F.col("grade") == F.col("hg")))
     df = df.withColumn("own", F.pmod(F.xxhash64("node"), F.col("b0")).cast("int"))
-    span = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda x: x < F.col(n))
+    own, g = F.col("own"), F.col("grade")
 
     def meet(g1, s1, g2, s2, side):
         return F.struct(F.xxhash64(F.col("root"), g1, s1, g2, s2).alias("task"), side.cast("int").alias("side"))
 
-    own, g = F.col("own"), F.col("grade")
-    same = F.transform(span("b0"), lambda x: meet(g, F.least(own, x), g, F.greatest(own, x), F.when(own == x, 0).when(own < x, 1).otherwise(2)))
-    up = F.transform(span("b1"), lambda x: meet(g, own, g + 1, x, F.lit(1)))
-    down = F.transform(span("b2"), lambda x: meet(g - 1, x, g, own, F.lit(2)))
+    def beside(n, task):
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), task)).otherwise(F.array().cast("array<struct<task:bigint,side:int>>"))
+
+    same = F.transform(_meetings(own, F.col("b0")), lambda x: meet(g, x["low"], g, x["high"], x["side"]))
+    up = beside("b1", lambda x: meet(g, own, g + 1, x, F.lit(1)))
+    down = beside("b2", lambda x: meet(g - 1, x, g, own, F.lit(2)))
     return df.select("node", F.explode(F.concat(same, up, down)).alias("t")).select("node", "t.task", "t.side")
 
 
-def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK, most: int = MOST_BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), n_links (documents linked
     to this one directly), n_copies (documents with the same shingle set), n_shingles, h (hash of its text)."""
     ratio = threshold[0] / threshold[1]
     bands, rows = bands_and_rows(ratio, recall)
-    signed = materialise(signatures(docs, n, bands, rows))
-    grouped = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("low"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    grouped = grouped.select("f1", "f2", "n", F.col("low.doc_id").alias("first"), F.col("low.h").alias("h"), "copies", "keys")
+    signed = materialise(signatures(docs, n, bands * rows))
+    grouped = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("low"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    grouped = grouped.select("f1", "f2", "n", F.col("low.doc_id").alias("first"), F.col("low.h").alias("h"), "copies", "sig")
     nodes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()))
 
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last"))
-    star = keyed.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    near = materialise(components(star))
-
+    near = materialise(components(candidates(nodes, bands, rows, threshold)))
     sizes = materialise(near.groupBy("root").agg(F.count("*").alias("members")))
-    candidates = near.join(sizes, "root").join(nodes.select("node", "n"), "node")
-    tasks = _tasks(materialise(candidates), ratio, block)
+    tasks = _tasks(materialise(near.join(sizes, "root").join(nodes.select("node", "n"), "node")), ratio, block, most)
     tasks = materialise(tasks.join(nodes.select("node", "first", "h", "copies"), "node"))
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     # only candidates' texts are shuffled; the join is the same at every size
@@ -312,4 +417,4 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return without(docs, materialise(gone.distinct()), F.xxhash64("text"))
 
 
-__all__ = ["bands_and_rows", "classes", "keep_first", "linked"]
+__all__ = ["bands_and_rows", "candidates", "classes", "keep_first", "least_agreement", "linked"]

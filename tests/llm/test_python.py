@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import components, gru_lm, html_extract, kneser_ney, langid, ngram_join, packing, queries
+from docquarry.llm import common, components, gru_lm, html_extract, kneser_ney, langid, ngram_join, packing, queries
 
 
 def words(t):
@@ -153,6 +153,70 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL and bands * rows <= ngram_join.MAX_HASHES
 
 
+def noised(rng, words, rate):
+    return [w if rng.random() > rate else f"n{rng.randrange(1 << 40)}" for w in words]
+
+
+def test_join_finds_pairs_just_above_the_threshold(spark):
+    rng = random.Random(3)
+    sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, above, below = [], [], []
+    while len(above) < 400:
+        a = [f"w{rng.randrange(1 << 40)}" for _ in range(150)]
+        b = noised(rng, a, 0.02)
+        x, y = sets(a), sets(b)
+        similar = len(x & y) / len(x | y)
+        if 0.74 <= similar <= 0.86:
+            (above if similar >= 0.8 else below).append(len(rows))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k + 1] == (k, 1) for k in above) >= 399
+    assert below and all(got[k + 1] == (k + 1, 0) for k in below)
+
+
+def test_boilerplate_sends_no_text(spark):
+    """Documents that share half of their words are compared by signatures only."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    shared = [word() for _ in range(60)]
+    rows = [(k, " ".join(shared + [word() for _ in range(60)])) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands, per = ngram_join.bands_and_rows(0.8)
+    signed = ngram_join.signatures(docs, 5, bands * per)
+    keys = signed.select(F.explode(ngram_join.band_keys(F.col("sig"), bands, per)).alias("key")).groupBy("key").count().where("count > 1")
+    assert keys.count() > 0
+    assert ngram_join.candidates(signed.withColumnRenamed("doc_id", "node"), bands, per, (4, 5)).count() == 0
+    assert ngram_join.classes(docs).where("n_links > 0 or class_id <> doc_id").count() == 0
+
+
+def test_agreement_limit():
+    least = ngram_join.least_agreement(0.8, 192)
+    tail = lambda k: sum(math.comb(192, j) * 0.8**j * 0.2 ** (192 - j) for j in range(k))
+    assert tail(least) <= ngram_join.AGREEMENT_LOSS < tail(least + 1)
+
+
+def test_scratch_folder_is_never_local_on_a_cluster(spark, monkeypatch):
+    class Unset:
+        def __init__(self, master):
+            self.conf = {}
+            self.sparkContext = type("Context", (), {"master": master})()
+
+    assert common.scratch_dir(Unset("local[2]")).startswith("file://")
+    assert common.scratch_dir(Unset("local[2]")) == common.scratch_dir(Unset("local[2]"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.scratch_dir(Unset("spark://host:7077"))
+
+
+def test_scratch_is_deleted_since_a_mark(spark):
+    first = common.materialise(spark.range(3))
+    mark = common.scratch_mark()
+    second = common.materialise(spark.range(4))
+    common.release(mark)
+    assert first.count() == 3
+    with pytest.raises(Exception):
+        second.count()
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(k, k + 1) for k in range(60)] + [(100, 101 + k) for k in range(50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
