@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -288,9 +289,50 @@ def test_marks_lose_no_article_text(page, text):
     assert html_extract.article_text(page) == text
 
 
-def test_unclosed_markup_ends():
-    assert html_extract.article_text("<" * 50_000 + "<nav><p>x") is not None
-    assert html_extract.article_text("<a '" * 20_000) is not None
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div>Home | About</div><div><h1>Title</h1><p>{LONG}</p><p>short</p><p>{LONG}</p><p>end</p></div><div>Copyright 2020</div></body>", f"Title\n{LONG}\nshort\n{LONG}\nend"),
+        (f"<body><div>Site name</div><h1>Title</h1><p>{LONG}</p><p>x</p><div>(c) 2020</div></body>", f"Title\n{LONG}\nx"),
+        (f"<div id=wrap><div>Site</div><div><a href=/>Home</a> <a href=/b>B</a></div><h1>T</h1><div class=byline>By me</div><p>{LONG}</p><ul><li>a<li>b</ul><p>{LONG}</p><div>All rights reserved.</div></div>", f"T\nBy me\n{LONG}\na\nb\n{LONG}"),
+        (f"<div><div>{LONG}</div><div class=ad>{LONG} ad</div><div>{LONG} 2</div></div>", f"{LONG}\n{LONG} 2"),
+        (f"<article><h1>T</h1><p>{LONG}</p></article><article class='teaser'><p>Read this too</p></article>", f"T\n{LONG}"),
+        (f"<main><h1>T</h1><div>By me</div><div>{LONG}</div></main><div>{LONG[:90]}</div>", f"T\nBy me\n{LONG}"),
+        ("<article><h1>Hi</h1><p>Short.</p></article><div>Site name here is long</div>", "Hi\nShort."),
+        ("<article><p><a href=x>Only a link</a></p></article><div><a href=1>b</a></div>", "Only a link"),
+    ],
+)
+def test_density_finds_the_article(page, text):
+    assert html_extract.article_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><div class='article-header'><h1>T</h1></div><p>a <span class='comment'># note</span> b</p><p class='share-price'>9</p><div class='legal'>L</div><p><math><mi>x</mi></math></p><p>{LONG}</p></article>", f"T\na # note b\n9\nL\nx\n{LONG}"),
+        (f"<article><p>{LONG}</p><script>var x=1;", LONG),
+        (f"<article><p>{LONG}</p><!-- x", LONG),
+        (f"<p title='a > b'>{LONG}</p>", LONG),
+        (f"<p>{LONG} 1 < 2 and 3 > 2</p>", f"{LONG} 1 < 2 and 3 > 2"),
+        (f"<article><div><div><p>{LONG}</div></div></div></div><p>x</article><p>out", f"{LONG}\nx"),
+    ],
+)
+def test_markup_inside_articles(page, text):
+    assert html_extract.article_text(page) == text
+
+
+def test_pages_without_marks_give_the_same_text(data):
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table(f"{data}/pages.parquet").to_pylist():
+        assert html_extract.article_text(re.sub("</?article>", "", r["html"])) == html_extract.article_text(r["html"])
+
+
+@pytest.mark.parametrize("part", ["<script>x", "<nav><p>x", "<a '", "<", "<div>", "<p>ab cd</p>", "<section></div></p>", "<!-- ", "&", "<a title=\"x' >", "<svg>", "<div class=ad><li>x"])
+def test_reading_is_linear(part):
+    began = time.process_time()
+    html_extract.article_text(part * (500_000 // len(part)))
+    assert time.process_time() - began < 3
 
 
 # Language ID
