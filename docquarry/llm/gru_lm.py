@@ -5,9 +5,11 @@ fixed size, are broadcast.  Every other word meets its count in a shuffle join;
 1/HEAD share of the words counted, so no key is hot.
 
 Network: a gated recurrent unit over words, with a class-factored softmax: the VOCABULARY most frequent words
-(and the end token) are cut by frequency into classes of equal size, P(word) = P(class) P(word | class); one
-more class stands for all other words, whose share follows their counts.  So the score is the probability of
-the whole text, whatever its words, and the network starts out as the unigram model.
+(and the end token) are cut by frequency into classes of equal size, P(word) = P(class) P(word | class).  All
+other words are in ENDINGS more classes by their last two characters (the most frequent endings, and one class for
+the rest); within such a class a word's share follows its counts, and every word never seen has that of half a
+count.  So the score is the probability of the whole text, whatever its words, and the network starts out as the
+unigram model.
 
 Training: truncated backpropagation in windows whose state is carried on; each training document is in one of
 the rounds.  Shards train side by side from the same weights and a tree of averages joins them, once a round.
@@ -36,26 +38,30 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 HEAD = 1 << 17
-CLASSES, MEMBERS = 64, 64
+CLASSES, MEMBERS = 32, 64
 VOCABULARY = CLASSES * MEMBERS  # the end token is number 0
+ENDINGS = 64  # classes of words outside the vocabulary
 HIDDEN = 32
 WINDOW = 16
-STREAMS = 64
-RATE = 0.08
+STREAMS = 256  # texts side by side; fewer, down to LEAST_STREAMS, where a shard has no more than UPDATES windows of them
+LEAST_STREAMS, UPDATES = 16, 256
+SCALE = 64  # of a window's mean gradient, before it is clipped
+RATE = 0.12
 ROUNDS = 2  # each trains on its own part of the training documents, together on all
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 12_000_000
 FAN_IN = 16  # shards averaged at once
-GROUP = 800_000  # tokens that a worker scores side by side
-OTHER, BEGIN = VOCABULARY, VOCABULARY + 1  # input numbers of other words and of a text's begin
+GROUP = 2_000_000  # tokens that a worker scores side by side
+# numbers: the vocabulary, then the classes of other words (the last for endings that are not listed), then a text's begin
+REST, BEGIN = VOCABULARY + ENDINGS - 1, VOCABULARY + ENDINGS
 
 PIECE = 1 << 16  # floats of a shard's weights in one row
 
 _SHAPES = {
-    "wx": (VOCABULARY + 2, 3 * HIDDEN),
+    "wx": (BEGIN + 1, 3 * HIDDEN),
     "u": (HIDDEN, 3 * HIDDEN),
     "bx": (3 * HIDDEN,),
-    "wc": (CLASSES + 1, HIDDEN),
-    "bc": (CLASSES + 1,),
+    "wc": (CLASSES + ENDINGS, HIDDEN),
+    "bc": (CLASSES + ENDINGS,),
     "ww": (CLASSES, MEMBERS, HIDDEN),
     "bw": (CLASSES, MEMBERS),
 }
@@ -79,14 +85,14 @@ def _unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def start_weights(counts: np.ndarray, other: float) -> dict[str, np.ndarray]:
-    """A network that gives each vocabulary entry its unigram share; ``counts`` may be shorter than the
-    vocabulary, what is missing has no probability to speak of."""
+def start_weights(counts: np.ndarray, other: np.ndarray) -> dict[str, np.ndarray]:
+    """A network that gives each vocabulary entry and each class of other words its unigram share; ``counts`` may be
+    shorter than the vocabulary, what is missing has no probability to speak of."""
     rng = np.random.default_rng(7)
     p = np.full(VOCABULARY, 1e-9)
     p[: len(counts)] = counts + 0.5
     p = p.reshape(CLASSES, MEMBERS)
-    mass = np.append(p.sum(axis=1), other + 0.5)
+    mass = np.append(p.sum(axis=1), np.zeros(ENDINGS) + other + 0.5)
     w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in _SHAPES.items()}
     w["bx"][:] = 0
     w["bc"] = np.log(mass / mass.sum()).astype(np.float32)
@@ -97,7 +103,10 @@ def start_weights(counts: np.ndarray, other: float) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.tanh(x * np.float32(0.5))
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -111,9 +120,12 @@ def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nd
     return (1 - z) * c + z * h, r, z, c, a
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -124,6 +136,11 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(x.sum(axis=1))
 
 
+def _kind(number: np.ndarray) -> np.ndarray:
+    """The output class of each number."""
+    return np.where(number < VOCABULARY, number // MEMBERS, number - VOCABULARY + CLASSES)
+
+
 def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
@@ -133,8 +150,8 @@ def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log P(target | h); target OTHER is the class of all other words."""
-    kind = target // MEMBERS
+    """Natural log P(target | h); targets from VOCABULARY on are classes of other words."""
+    kind = _kind(target)
     outer = h @ w["wc"].T + w["bc"]
     logp = outer[np.arange(len(h)), kind].astype(np.float64)
     logp -= _log_sum(outer)
@@ -147,33 +164,40 @@ def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarra
 
 def document_scores(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each whole document (numbers, the end token last)."""
-    size = np.array([len(d) for d in docs])
-    order = np.argsort(-size, kind="stable")
+    size = np.array([len(d) for d in docs], dtype=np.int64)
     total = np.zeros(len(docs))
-    longest = int(size.max(initial=0))
+    if not len(docs):
+        return total
+    order = np.argsort(-size, kind="stable")
+    every = np.concatenate(docs)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])[order]
+    size = size[order]
     h = np.zeros((len(docs), HIDDEN), dtype=np.float32)
     before = np.full(len(docs), BEGIN)
     wx = w["wx"] + w["bx"]
-    active = len(docs)
-    for t0 in range(0, longest, WINDOW):
-        while active and size[order[active - 1]] <= t0:
-            active -= 1
-        here = order[:active]
-        grid = np.full((WINDOW, active), -1)
-        for column, d in enumerate(here):
-            part = docs[d][t0 : t0 + WINDOW]
-            grid[: len(part), column] = part
-        states, targets, owners = [], [], []
-        for t in range(min(WINDOW, longest - t0)):
-            n = int((grid[t] >= 0).sum())  # sorted by length: those that go on come first
+    # sorted by length: those that go on at a place come first
+    active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left")
+    t = 0
+    while t < size[0]:
+        states, targets, counts = [], [], []
+        room = WINDOW * STREAMS  # a window is longer where fewer documents go on
+        while t < size[0] and room > 0:
+            n = int(active[t])
             h = _step(w, wx[before[:n]], h[:n])[0]
-            before = grid[t, :n]
+            before = every[begin[:n] + t]
             states.append(h)
             targets.append(before)
-            owners.append(here[:n])
+            counts.append(n)
+            room -= n
+            t += 1
         logp = log_probabilities(w, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(owners), logp, minlength=len(docs))
-    return total
+        at = 0
+        for n in counts:
+            total[:n] += logp[at : at + n]
+            at += n
+    out = np.empty(len(docs))
+    out[order] = total
+    return out
 
 
 def train(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> int:
@@ -183,36 +207,42 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> int:
     fresh = np.zeros(len(target), dtype=bool)
     fresh[np.cumsum([0, *[len(d) for d in docs[:-1]]])] = True
     given[fresh] = BEGIN
-    streams = max(1, min(STREAMS, len(target) // WINDOW))
+    streams = max(1, min(STREAMS, len(target) // WINDOW, max(LEAST_STREAMS, len(target) // WINDOW // UPDATES)))
     length = -(-len(target) // streams)
     pad = streams * length - len(target)
-    live = np.concatenate([np.ones(len(target), dtype=np.float32), np.zeros(pad, dtype=np.float32)]).reshape(streams, length).T
-    lay = lambda x, fill: np.concatenate([x, np.full(pad, fill, dtype=x.dtype)]).reshape(streams, length).T
-    given, target_at, fresh = lay(given, BEGIN), lay(target, 0), lay(fresh, True)
+    lay = lambda x, fill: np.ascontiguousarray(np.concatenate([x, np.full(pad, fill, dtype=x.dtype)]).reshape(streams, length).T)
+    live = lay(np.ones(len(target), dtype=np.float32), 0)
+    given, target_at, goes_on = lay(given, BEGIN), lay(target, 0), 1 - lay(fresh, True).astype(np.float32)
     seen = {k: np.full(v.shape, 1e-6, dtype=np.float32) for k, v in w.items()}
     n = HIDDEN
 
     def update(name: str, grad: np.ndarray, at=slice(None)) -> None:
-        grad = np.clip(grad, -1, 1)
-        seen[name][at] += grad * grad
-        w[name][at] -= RATE * grad / np.sqrt(seen[name][at])
+        np.clip(grad, -1, 1, out=grad)
+        total = seen[name][at] + grad * grad
+        seen[name][at] = total
+        grad *= RATE
+        grad /= np.sqrt(total)
+        w[name][at] -= grad
 
     h = np.zeros((streams, n), dtype=np.float32)
     for t0 in range(0, length, WINDOW):
         rows = range(t0, min(t0 + WINDOW, length))
-        past, states, kept = [], [], []
-        for t in rows:
-            h = h * ~fresh[t][:, None]
-            past.append(h)
-            h, *gates = _step(w, w["wx"][given[t]] + w["bx"], h)
-            states.append(h)
+        ids = given[rows.start : rows.stop].ravel()
+        used, place = np.unique(ids, return_inverse=True)
+        x = (w["wx"][used] + w["bx"])[place].reshape(len(rows), streams, 3 * n)
+        past, kept = np.empty((len(rows), streams, n), dtype=np.float32), []
+        hs = np.empty((len(rows), streams, n), dtype=np.float32)
+        for i, t in enumerate(rows):
+            np.multiply(h, goes_on[t][:, None], out=past[i])
+            h, *gates = _step(w, x[i], past[i])
+            hs[i] = h
             kept.append(gates)
-        hs = np.concatenate(states)
+        hs = hs.reshape(-1, n)
         y = target_at[rows.start : rows.stop].ravel()
         weight = live[rows.start : rows.stop].ravel()
-        weight = weight / max(1.0, float(weight.sum())) * STREAMS
-        kind = y // MEMBERS
-        dc = np.exp(_log_softmax(hs @ w["wc"].T + w["bc"]))
+        weight = weight * np.float32(SCALE / max(1.0, float(weight.sum())))
+        kind = _kind(y)
+        dc = _softmax(hs @ w["wc"].T + w["bc"])
         dc[np.arange(len(y)), kind] -= 1
         dc *= weight[:, None]
         dh = dc @ w["wc"]
@@ -225,8 +255,8 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> int:
         d = np.empty((len(listed), MEMBERS), dtype=np.float32)
         for k in met:
             np.matmul(ordered[edges[k] : edges[k + 1]], w["ww"][k].T, out=d[edges[k] : edges[k + 1]])
-        d += w["bw"][kind[listed]]
-        d = np.exp(_log_softmax(d))
+            d[edges[k] : edges[k + 1]] += w["bw"][k]
+        d = _softmax(d)
         d[np.arange(len(listed)), y[listed] % MEMBERS] -= 1
         d *= weight[listed][:, None]
         back = np.empty((len(listed), n), dtype=np.float32)
@@ -243,23 +273,23 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> int:
             update("bw", np.add.reduceat(d, edges[met], axis=0), met)
         dh = dh.reshape(len(rows), streams, n)
         carry = np.zeros((streams, n), dtype=np.float32)
-        dx = np.zeros((len(rows), streams, 3 * n), dtype=np.float32)
-        du = np.zeros((len(rows), streams, 3 * n), dtype=np.float32)
+        dx = np.empty((len(rows), streams, 3 * n), dtype=np.float32)
+        du = np.empty((len(rows), streams, 3 * n), dtype=np.float32)
         for i in range(len(rows) - 1, -1, -1):
             r, z, c, a = kept[i]
             g = dh[i] + carry
             dcand = g * (1 - z) * (1 - c * c)
-            dz = g * (past[i] - c) * z * (1 - z)
-            dr = dcand * a * r * (1 - r)
-            dx[i] = np.concatenate([dr, dz, dcand], axis=1)
-            du[i] = np.concatenate([dr, dz, dcand * r], axis=1)
-            carry = (g * z + du[i] @ w["u"].T) * ~fresh[rows.start + i][:, None]
+            dx[i, :, :n] = dcand * a * r * (1 - r)
+            dx[i, :, n : 2 * n] = g * (past[i] - c) * z * (1 - z)
+            dx[i, :, 2 * n :] = dcand
+            du[i, :, : 2 * n] = dx[i, :, : 2 * n]
+            np.multiply(dcand, r, out=du[i, :, 2 * n :])
+            carry = (g * z + du[i] @ w["u"].T) * goes_on[rows.start + i][:, None]
         du, dx = du.reshape(-1, 3 * n), dx.reshape(-1, 3 * n)
-        used, place = np.unique(given[rows.start : rows.stop].ravel(), return_inverse=True)
         order = np.argsort(place, kind="stable")
         summed = np.add.reduceat(dx[order], np.searchsorted(place[order], np.arange(len(used))), axis=0)
-        update("u", np.concatenate(past).T @ du)
-        update("bx", dx.sum(axis=0))
+        update("u", past.reshape(-1, n).T @ du)
+        update("bx", summed.sum(axis=0))
         update("wx", summed, used)
     return len(target)
 
@@ -308,6 +338,35 @@ def _numbers(words: list[bytes], rank: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(rank.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
 
+def ending(word: bytes) -> str:
+    return word.decode("utf-8", "replace")[-2:]
+
+
+def class_of(word: bytes, endings: dict[str, int]) -> int:
+    """The number of the class of a word outside the vocabulary."""
+    return endings.get(ending(word), REST)
+
+
+def _endings(counts: DataFrame, listed: list[bytes], found: np.ndarray) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Class numbers of the most frequent endings among words that are not ``listed`` (with counts ``found``), and for
+    each class how often its words occur and how many there are."""
+    every = counts.agg(F.sum("c").alias("n"), F.count("*").alias("k")).first()
+    rows = counts.groupBy(F.right("word", F.lit(2)).alias("ending")).agg(F.sum("c").alias("n"), F.count("*").alias("k"))
+    # the vocabulary can only take an ending out of the first ones, so its size more of them are enough
+    left = {r["ending"]: [r["n"], r["k"]] for r in rows.orderBy(F.desc("n"), "ending").limit(VOCABULARY + ENDINGS).collect()}
+    for word, c in zip(listed, found, strict=True):
+        if (mine := left.get(ending(word))) is not None:
+            mine[0] -= int(c)
+            mine[1] -= 1
+    chosen = sorted((e for e in left if left[e][1] > 0), key=lambda e: (-left[e][0], e))[: ENDINGS - 1]
+    total, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for k, e in enumerate(chosen):
+        total[k], kinds[k] = left[e]
+    total[-1] = int(every["n"] or 0) - int(found.sum()) - total.sum()
+    kinds[-1] = int(every["k"]) - len(listed) - kinds.sum()
+    return {e: VOCABULARY + k for k, e in enumerate(chosen)}, total, kinds
+
+
 def _average(parts: DataFrame, shards: int) -> np.ndarray:
     """Mean weights, by number of tokens, of rows (shard, piece, tokens, data); FAN_IN rows meet in a task."""
     schema = "shard long, piece int, tokens long, data binary"
@@ -331,21 +390,25 @@ def _without_up(join):
     return lambda table: join(table.drop_columns(["up"]))
 
 
-def fit(texts: DataFrame, chars: int, w: dict[str, np.ndarray], rank: dict[bytes, int]) -> tuple[dict[str, np.ndarray], int]:
+def fit(texts: DataFrame, chars: int, w: dict[str, np.ndarray], names: list[bytes], code: np.ndarray, endings: dict[str, int]) -> tuple[dict[str, np.ndarray], int]:
     """``w`` trained on all ``texts`` (doc_id, text), and the number of tokens seen; ``chars`` is the length of
-    the texts, which sets the shards."""
+    the texts, which sets the shards; ``code`` has the numbers of the words ``names``."""
     seen = 0
     for turn in range(ROUNDS):
         shards = max(1, round(chars / ROUNDS / SHARD_CHARS))
-        sent = texts.sparkSession.sparkContext.broadcast((_flat(w), rank))
+        sent = texts.sparkSession.sparkContext.broadcast((_flat(w), names, code, endings))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flat, rank = sent.value
+            flat, names, code, endings = sent.value
+            codes = dict(zip(names, code.tolist(), strict=True))
             docs = []
             for batch in batches:
                 for text in batch.column(1):
-                    number = _numbers(words_of(text.as_py()), rank)
-                    docs.append(np.append(np.where((number < 0) | (number >= VOCABULARY), OTHER, number), 0))
+                    words = words_of(text.as_py())
+                    number = np.append(_numbers(words, codes), 0)
+                    for k in np.flatnonzero(number < 0):
+                        number[k] = class_of(words[k], endings)
+                    docs.append(number)
             if not docs:
                 return
             mine = _unflat(flat)
@@ -383,18 +446,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     names, found = _most_frequent(counts)
     # number 0 is the end token, then words by frequency
     count = np.concatenate([[ends], found]).astype(np.int64)
-    rank = {w: k for k, w in enumerate(names, 1)}
     listed = count[:VOCABULARY]
-    others, kinds = n - int(listed.sum()), max(0, v - len(listed))
-    vocabulary = {w: k for w, k in rank.items() if k < VOCABULARY}
-    w, _ = fit(learn, int(size["chars"] or 0), start_weights(listed, others), vocabulary)
+    endings, others, kinds = _endings(counts, names[: VOCABULARY - 1], found[: VOCABULARY - 1])
+    code = np.array([k if k < VOCABULARY else class_of(x, endings) for k, x in enumerate(names, 1)], dtype=np.int64)
+    w, _ = fit(learn, int(size["chars"] or 0), start_weights(listed, others), names, code, endings)
 
     log_base = float(np.log10(n + 0.5 * (v + 1)))
-    log_other = float(np.log10(others + 0.5 * (kinds + 1)))
-    sent = spark.sparkContext.broadcast((_flat(w), names, count))
+    log_other = np.log10(others + 0.5 * (kinds + 1))
+    sent = spark.sparkContext.broadcast((_flat(w), names, np.concatenate([[0], code]), count, endings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, names, count = sent.value
+        flat, names, code, count, endings = sent.value
         w, rank = _unflat(flat), {x: k for k, x in enumerate(names, 1)}
         log_count = np.log10(count + 0.5)
         ids, out, held, tokens, rest = [], [], [], 0, []
@@ -413,14 +475,18 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             for rid, doc, text, back in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 number = np.append(_numbers(words, rank), 0)
+                outside = np.flatnonzero(number < 0)
                 found = number[number >= 0]
                 known = int((count[found] > 0).sum())
-                other = found[found >= VOCABULARY]
                 ids.append((rid, doc, back))
+                coded = code[number]
+                for k in outside:
+                    coded[k] = class_of(words[k], endings)
+                other = coded[coded >= VOCABULARY] - VOCABULARY
                 # counts of words outside the head are still to come
-                out.append((len(number), known, log_count[found].sum() - len(number) * log_base, log_count[other].sum() - log_other * (len(other) + len(number) - len(found))))
-                held.append(np.where((number < 0) | (number >= VOCABULARY), OTHER, number))
-                rest.append([words[k] for k in np.flatnonzero(number < 0)])
+                out.append((len(number), known, log_count[found].sum() - len(number) * log_base, log_count[found[found >= VOCABULARY]].sum() - log_other[other].sum()))
+                held.append(coded)
+                rest.append([words[k] for k in outside])
                 tokens += len(number)
                 if tokens >= GROUP:
                     yield flush()

@@ -461,7 +461,7 @@ def test_each_language_has_its_sample_and_quantile(spark):
 
 def test_scores_equal_step_by_step():
     rng = np.random.default_rng(0)
-    docs = [np.append(rng.integers(0, gru_lm.OTHER + 1, rng.integers(0, 60)), 0) for _ in range(15)]
+    docs = [np.append(rng.integers(0, gru_lm.REST + 1, rng.integers(0, 60)), 0) for _ in range(15)]
     w = gru_lm.start_weights(np.bincount(np.concatenate(docs), minlength=80)[: gru_lm.VOCABULARY].astype(float), 3.0)
     for d, got in zip(docs, gru_lm.document_scores(w, docs), strict=True):
         h, before, want = np.zeros((1, gru_lm.HIDDEN), dtype=np.float32), gru_lm.BEGIN, 0.0
@@ -475,7 +475,7 @@ def test_scores_equal_step_by_step():
 def test_probabilities_sum_to_one():
     w = gru_lm.start_weights(np.ones(gru_lm.VOCABULARY), 10.0)
     h = np.random.default_rng(1).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
-    every = np.arange(gru_lm.OTHER + 1)
+    every = np.arange(gru_lm.REST + 1)
     assert np.exp(gru_lm.log_probabilities(w, np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -509,10 +509,48 @@ def test_recurrent_model_learns():
 def test_every_training_document_is_trained_on(spark):
     rows = [(k, "a b " * (k % 7 + 1)) for k in range(200)] + [(None, "a b c")]
     start = gru_lm.start_weights(np.ones(4), 1.0)
-    _, seen = gru_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), 2000, start, {b"a": 1, b"b": 2})
+    _, seen = gru_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), 2000, start, [b"a", b"b"], np.array([1, 2]), {})
     assert seen == sum(len(t.split()) + 1 for _, t in rows)
 
 
+def test_scores_are_those_of_one_machine(spark, data):
+    """With one shard, the query's scores are those of plain loops over the same documents in the same order."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    held = {d for d, _ in rows if fold(d, 5) == 1}
+    tokens = {d: gru_lm.words_of(t) for d, t in rows}
+    counts = Counter(w for d, _ in rows if d not in held for w in tokens[d])
+    ends = sum(d not in held for d, _ in rows)
+    names = sorted(counts, key=lambda w: (-counts[w], w))
+    listed, tail = names[: gru_lm.VOCABULARY - 1], names[gru_lm.VOCABULARY - 1 :]
+    by_ending = Counter()
+    for w in tail:
+        by_ending[w.decode()[-2:]] += counts[w]
+    chosen = sorted(by_ending, key=lambda e: (-by_ending[e], e))[: gru_lm.ENDINGS - 1]
+    code = {w: k for k, w in enumerate(listed, 1)}
+    kind = lambda w: gru_lm.VOCABULARY + (chosen.index(w.decode()[-2:]) if w.decode()[-2:] in chosen else gru_lm.ENDINGS - 1)
+    total, kinds = np.zeros(gru_lm.ENDINGS), np.zeros(gru_lm.ENDINGS)
+    for w in tail:
+        total[kind(w) - gru_lm.VOCABULARY] += counts[w]
+        kinds[kind(w) - gru_lm.VOCABULARY] += 1
+    number = lambda d: np.array([code[w] if w in code else kind(w) for w in tokens[d]] + [0])
+    w = gru_lm.start_weights(np.array([ends] + [counts[x] for x in listed]), total)
+    learn = sorted((d, t) for d, t in rows if d not in held)
+    turn = {r["doc_id"]: r["t"] for r in spark.createDataFrame([(d,) for d, _ in learn], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(gru_lm.ROUNDS)).alias("t")).collect()}
+    for k in range(gru_lm.ROUNDS):
+        gru_lm.train(w, [number(d) for d, _ in learn if turn[d] == k])
+    got = {r["doc_id"]: r["score"] for r in gru_lm.score(spark.read.parquet(f"{data}/documents.parquet"), langid.fold(F.col("doc_id"), 5) == 1).collect()}
+    for d, _ in rows:
+        logp = gru_lm.document_scores(w, [number(d)])[0] / math.log(10)
+        logp += sum(math.log10((counts[x] + 0.5) / (total[kind(x) - gru_lm.VOCABULARY] + 0.5 * (kinds[kind(x) - gru_lm.VOCABULARY] + 1))) for x in tokens[d] if x not in code)
+        assert got[d] == pytest.approx(logp, rel=1e-3)
+
+
+def test_held_out_texts_score_above_the_base(spark, data):
+    got = gru_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), langid.fold(F.col("doc_id"), 5) == 1)
+    r = got.where("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("score"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).first()
+    assert r["score"] > r["base"] + 0.2
+
+
 def test_base_scores_by_brute_force(spark, odd, none):
     rows = odd.select("doc_id", "text").collect()
     held = lambda d: fold(d, 5) == 1
