@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprinting.
 
-A record is JSON of any layout.  Its nested field paths, without types, are hashed; the hash selects a
-declarative mapping that turns the record into canonical turns (role, text).  Turns are formatted as
+A record is JSON of any layout.  Its nested field paths, without types, are hashed one by one; the first mapping
+whose required paths are all among them turns the record into canonical turns (role, text), so fields that no
+mapping needs do no harm.  ``fingerprint`` is the hash of all paths together.  Turns are formatted as
 
     ### role: text</turn>\\n
 
@@ -9,36 +10,35 @@ Inside texts the escape character and the control strings are written so that no
 the original comes back exactly.  The loss mask is a list of code point spans of the formatted text: the texts
 of assistant turns.  All of it is one projection over built-in functions.
 
-Defined results: a record that is not JSON, or whose fingerprint no mapping has, gets a null layout and null
-turns; null texts and roles are empty; empty lists give no turns and an empty text; turns of ``from_rows`` with
-equal numbers are ordered by role and text; a null conversation id is one conversation; an empty table gives
-an empty table; other columns are carried through.  Spark parses no string over LONGEST characters and no record
+Defined results: a record that is not JSON, or has all paths of no mapping, gets a null layout and null turns; null
+texts and roles are empty; empty lists give no turns and an empty text; turns of ``from_rows`` with equal numbers are
+ordered by role and text; each row without a conversation id is a conversation of its own; a conversation is one
+value, so its rows meet in one task; an empty table gives an empty table; other columns are carried through.  Spark parses no string over LONGEST characters and no record
 over VARIANT's size limit: conversations of ``from_rows`` beyond them keep their turns, which need no parsing;
 other records that are not parsed and are longer than LONGEST get the layout ``too_long`` and null turns.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Shape (sorted nested paths) -> mapping.  ``list`` has the turns of a list of records, with
-#: the names of role and text; ``fields`` has (role, field) in order, fields joined to the one before by "+".
-MAPPINGS = {
-    "OBJECT<messages:ARRAY<OBJECT<content,role>>>": {"name": "messages", "list": ("messages", "role", "content")},
-    "OBJECT<messages:ARRAY<>>": {"name": "messages_empty", "fields": []},
-    "OBJECT<conversations:ARRAY<OBJECT<from,value>>>": {"name": "from_value", "list": ("conversations", "from", "value")},
-    "OBJECT<prompt,response>": {"name": "prompt_response", "fields": [("user", "prompt"), ("assistant", "response")]},
-    "OBJECT<completion,prompt>": {"name": "prompt_completion", "fields": [("user", "prompt"), ("assistant", "completion")]},
-    "OBJECT<instruction,output>": {"name": "instruction", "fields": [("user", "instruction"), ("assistant", "output")]},
-    "OBJECT<input,instruction,output>": {"name": "instruction_input", "fields": [("user", "instruction"), ("+", "input"), ("assistant", "output")]},
-    "OBJECT<answer,question>": {"name": "question_answer", "fields": [("user", "question"), ("assistant", "answer")]},
-    "OBJECT<prompt,response,system>": {"name": "system_prompt", "fields": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
-}
+#: Layouts, what needs most paths first.  ``paths`` must be there (``[]`` is an element of a list, and
+#: ``[]`` at the end a list without elements); ``list`` has the turns of a list of records, with the names of role and
+#: text; ``fields`` has (role, field) in order, fields joined to the one before by "+".
+MAPPINGS = [
+    {"name": "messages", "paths": ["messages[].role", "messages[].content"], "list": ("messages", "role", "content")},
+    {"name": "from_value", "paths": ["conversations[].from", "conversations[].value"], "list": ("conversations", "from", "value")},
+    {"name": "system_prompt", "paths": ["system", "prompt", "response"], "fields": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
+    {"name": "instruction_input", "paths": ["instruction", "input", "output"], "fields": [("user", "instruction"), ("+", "input"), ("assistant", "output")]},
+    {"name": "prompt_response", "paths": ["prompt", "response"], "fields": [("user", "prompt"), ("assistant", "response")]},
+    {"name": "prompt_completion", "paths": ["prompt", "completion"], "fields": [("user", "prompt"), ("assistant", "completion")]},
+    {"name": "instruction", "paths": ["instruction", "output"], "fields": [("user", "instruction"), ("assistant", "output")]},
+    {"name": "question_answer", "paths": ["question", "answer"], "fields": [("user", "question"), ("assistant", "answer")]},
+    {"name": "messages_empty", "paths": ["messages[]"], "fields": []},
+]
 #: Role names of the from_value layout.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant"}
 END = "</turn>\n"
@@ -49,16 +49,34 @@ ROLE_ESCAPE = (":", "\\c")
 LONGEST = 20_000_000
 
 
-def shape(record: Column) -> Column:
-    """Nested field paths of a JSON string in sorted order, without types; null if it is not JSON."""
+def paths(record: Column) -> Column:
+    """Sorted array of the nested field paths of a JSON string; null if it is not JSON."""
     schema = F.schema_of_variant(F.try_parse_json(record))
-    untyped = F.regexp_replace(schema, r": (?!ARRAY<|OBJECT<)[A-Z]+(?:\([0-9,]+\))?", "")
-    untyped = F.regexp_replace(untyped, r"ARRAY<(?!ARRAY<|OBJECT<)[A-Z]+(?:\([0-9,]+\))?>", "ARRAY<>")
-    return F.regexp_replace(F.regexp_replace(untyped, ": ", ":"), ", ", ",")
+    # names, begins and ends of the schema's text; a walk over them knows where it is by a stack of prefixes
+    token = F.regexp_extract_all(schema, F.lit(r"`(?:[^`]|``)*`: |[^\s<>,:`]+: |OBJECT<|ARRAY<VOID>|ARRAY<|>"), F.lit(0))
+    kind = "struct<stack:array<string>,at:string,found:array<string>>"
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit("").alias("at"), F.array().cast("array<string>").alias("found")).cast(kind)
+
+    def state(stack: Column, at: Column, found: Column) -> Column:
+        return F.struct(stack.alias("stack"), at.alias("at"), found.alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        name = F.concat(F.element_at(s["stack"], -1), F.regexp_replace(F.regexp_replace(t, ": $", ""), "^`|`$", ""))
+        inner = F.when(s["at"] == "", "").otherwise(F.concat(s["at"], F.lit(".")))
+        listed = F.concat(s["at"], F.lit("[]"))
+        return (
+            F.when(t.endswith(": "), state(s["stack"], name, F.array_append(s["found"], name)))
+            .when(t == "OBJECT<", state(F.array_append(s["stack"], inner), s["at"], s["found"]))
+            .when(t == "ARRAY<", state(F.array_append(s["stack"], listed), listed, s["found"]))
+            .when(t == "ARRAY<VOID>", state(s["stack"], s["at"], F.array_append(s["found"], listed)))
+            .otherwise(state(F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0))), s["at"], s["found"]))
+        )
+
+    return F.when(schema.isNotNull(), F.aggregate(token, start, step, lambda s: F.array_sort(F.array_distinct(s["found"]))))
 
 
 def fingerprint(record: Column) -> Column:
-    return F.sha2(shape(record), 256)
+    return F.sha2(F.array_join(paths(record), "\n"), 256)
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -93,10 +111,10 @@ def canonical(df: DataFrame, record: str = "record", messages: str | None = None
     ``messages`` names a column of the same turns (array of content, role) for records that are not parsed."""
     names = [free_name(df.columns, x) for x in ("layout", "turns", "fp_", "v_")]
     layout, turns, fp, v = names
-    df = df.withColumn(fp, fingerprint(F.col(record))).withColumn(v, F.try_parse_json(F.col(record)))
+    df = df.withColumn(fp, F.transform(paths(F.col(record)), lambda p: F.xxhash64(p))).withColumn(v, F.try_parse_json(F.col(record)))
     name, value = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for path, mapping in MAPPINGS.items():
-        here = F.col(fp) == hashlib.sha256(path.encode()).hexdigest()
+    for mapping in reversed(MAPPINGS):
+        here = F.forall(F.array(*[F.xxhash64(F.lit(p)) for p in mapping["paths"]]), lambda p: F.array_contains(F.col(fp), p))
         name = F.when(here, F.lit(mapping["name"])).otherwise(name)
         value = F.when(here, _turns(F.col(v), mapping)).otherwise(value)
     if messages is not None:
@@ -161,9 +179,25 @@ def masked(text: Column, spans: Column) -> Column:
 
 def from_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, messages, record): one ``messages`` record per conversation of a table with one row per turn,
-    and its turns as an array."""
+    and its turns as an array.  Rows without a conv_id say nothing about what they belong to: each is alone."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))
+    lists = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))
+    lists = lists.unionByName(rows.where(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("m")))
     message = F.transform("m", lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
     lists = lists.select("conv_id", message.alias("messages"))
     return lists.select("conv_id", "messages", F.to_json(F.struct("messages")).alias("record"))
+
+
+def as_published(lists: DataFrame) -> DataFrame:
+    """``lists`` of ``from_rows`` with records in the layouts that such conversations are published in: a lone prompt
+    and its response, the same under a system prompt, dialogues of two, and messages for all others."""
+    m = F.col("messages")
+    roles = F.transform(m, lambda x: x["role"])
+    said = lambda k: F.element_at(m, k)["content"]
+    asks = lambda *names: roles == F.array(*[F.lit(x) for x in names])
+    prompt = F.struct(said(1).alias("prompt"), said(2).alias("response"))
+    system = F.struct(said(1).alias("system"), said(2).alias("prompt"), said(3).alias("response"))
+    sides = F.transform(m, lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
+    two = (F.size(m) > 0) & F.forall(roles, lambda r: r.isin("user", "assistant"))
+    record = F.when(asks("user", "assistant"), F.to_json(prompt)).when(asks("system", "user", "assistant"), F.to_json(system))
+    return lists.withColumn("record", record.when(two, F.to_json(F.struct(sides.alias("conversations")))).otherwise(F.col("record")))

@@ -46,6 +46,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir
 
 
+def scratch_path(spark: SparkSession, name: str = "dq") -> str:
+    """A new folder for one table."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
@@ -53,12 +58,34 @@ def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/dq-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", compression).parquet(path)
     _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPARE = 8  # times as many rows as wanted that may pass a limit
+SCALE = 1 << 52
+
+
+def hash_of(key: Column) -> Column:
+    """A hash below SCALE."""
+    return F.pmod(F.xxhash64(key), F.lit(SCALE))
+
+
+def smallest_hashes(rows: DataFrame, group: str, key: Column, want: int) -> DataFrame:
+    """About SPARE * ``want`` rows of each group of ``rows``, those with the smallest hashes of ``key``.
+
+    A group's limit follows from its number of rows, so no task ranks a whole group.  One row for each group goes to
+    the driver: groups must be few, as languages are."""
+    name = F.coalesce(F.concat(F.lit("+"), F.col(group)), F.lit("-"))
+    counts = rows.groupBy(name.alias("g")).count().collect()
+    if not counts:
+        return rows
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["g"], max(1, SCALE * min(r["count"], SPARE * want) // r["count"]))])
+    return rows.where(hash_of(key) < F.element_at(limits, name))
+
+
 SIEVE_BITS = 1 << 25  # 4 MB at most, whatever the corpus
 
 
@@ -104,6 +131,11 @@ def scratch_mark() -> int:
     return len(_scratch)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Delete a table only with the process."""
+    _scratch.append((spark, path))
+
+
 def release(mark: int = 0) -> None:
     """Delete the intermediate tables made since ``mark``, or all of this process; nothing may read them later."""
     while len(_scratch) > mark:

@@ -3,11 +3,12 @@
 For each language, pieces of labelled texts make a raw-content zstandard dictionary.  A text is cut into pieces
 of bounded size, every piece of it is compressed with each language's dictionary, and the language with the
 smallest sum wins; a narrow margin between the two smallest is a rejection.  Pieces keep the dictionary in
-reach of a long text's end and bound memory.  Texts are compared as lower-case letters: what is between words
-is one space.  For short texts, where sizes differ by few bytes, a slower level finds shorter matches.
+reach of a long text's end and bound memory.  Texts are compared as lower-case letters with their combining marks,
+composed: what is between words is one space.
 
 The dictionaries are fitted on a bounded sample: at most SAMPLE_DOCS texts of each language, those with the
-smallest hash of doc_id, and PIECE code points of each, DICTIONARY bytes in all.  A text's share comes from SPREAD
+smallest hash of doc_id (found among those under a limit that the language's count sets, so no task ranks a whole
+language), and PIECE code points of each, DICTIONARY bytes in all.  A text's share comes from SPREAD
 places, one at a hash-chosen point of each part of the whole text.  So what is broadcast has a fixed size for each
 language.  Everything else reads all texts whole.
 
@@ -19,32 +20,33 @@ learnt from; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialise
+from .common import hash_of, materialise, smallest_hashes
 
 SAMPLE_DOCS = 400
 PIECE = 1200
 SPREAD = 4
 DICTIONARY = 110_000
 CHUNK = 4096  # bytes compressed at once
-LEVEL = 3
-SHORT, SHORT_LEVEL = 600, 19  # bytes up to which a text is compressed at the slower level
+LEVEL = 11  # its matches tell short texts apart best; the optimal parsers above it fit sizes to literals, not to the dictionary
 MARGIN = 0.01  # of the smallest size
 UND = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def letters(text: str) -> bytes:
     """What is compared: the words of a text, lower-case."""
-    return (" " + " ".join(_LETTERS.findall(text.lower())) + " ").encode("utf-8", "replace")
+    composed = text if text.isascii() else unicodedata.normalize("NFC", text)
+    return (" " + " ".join(_LETTERS.findall(composed.lower())) + " ").encode("utf-8", "replace")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -69,17 +71,17 @@ def _share(places: tuple[str, ...], size: int) -> bytes:
     """``size`` bytes of letters from all places alike; what one lacks, the next ones may add."""
     out = b""
     for k, piece in enumerate(places):
-        out += letters(piece)[: (size - len(out)) // (len(places) - k)]
+        out += letters(piece)[: (size - len(out)) // (len(places) - k)].decode("utf-8", "ignore").encode()
     return out
 
 
 def dictionaries(docs: DataFrame, learn: Column, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Raw dictionary content of each language among the rows where ``learn`` holds."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UND))
-    # top-k by group: Spark limits each group before the exchange, so a language of any size is cheap
+    few = smallest_hashes(labelled.select("doc_id", "lang"), "lang", F.col("doc_id"), sample)
     order = Window.partitionBy("lang").orderBy("k", "doc_id")
-    ids = labelled.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("k"))
-    ids = materialise(ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", F.col("lang").alias("l")))
+    ids = few.withColumn("k", hash_of(F.col("doc_id"))).withColumn("r", F.row_number().over(order))
+    ids = materialise(ids.where(F.col("r") <= sample).select("doc_id", F.col("lang").alias("l")))
     texts = labelled.join(ids, (labelled["doc_id"] == ids["doc_id"]) & (labelled["lang"] == ids["l"]), "left_semi")
     found: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
     for row in texts.select("doc_id", "lang", _places(F.col("text"), F.col("doc_id")).alias("t")).collect():
@@ -99,7 +101,7 @@ class Judge:
         import zstandard
 
         self.langs = sorted(content)
-        self.tools, self.short = ([self._tool(zstandard, content[lang], at) for lang in self.langs] for at in (level, SHORT_LEVEL))
+        self.tools = [self._tool(zstandard, content[lang], level) for lang in self.langs]
 
     @staticmethod
     def _tool(zstandard, content: bytes, level: int):
@@ -113,7 +115,7 @@ class Judge:
         if not self.langs or not data.strip():
             return UND, 0.0, 0.0
         sizes = []
-        for tool in self.short if len(data) <= SHORT else self.tools:
+        for tool in self.tools:
             sizes.append(sum(len(tool.compress(data[k : k + CHUNK])) for k in range(0, len(data), CHUNK)))
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         best = sizes[order[0]]

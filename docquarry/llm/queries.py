@@ -39,7 +39,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
     extra = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), said)
-    out = chat.formatted(chat.canonical(chat.from_rows(rows.union(extra)), messages="messages"))
+    out = chat.formatted(chat.canonical(chat.as_published(chat.from_rows(rows.union(extra))), messages="messages"))
     back = chat.read_back(F.col("formatted"))
     out = out.select("conv_id", "formatted", back.alias("back"), F.array_join(chat.masked(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -148,13 +148,14 @@ select doc_id, keep_id, group_size, rid = keep_rid as kept, sha256(t) as text_sh
 CHAT_SQL = r"""
 with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+alone as (select *, case when conv_id is null then row_number() over () end as one from rows),
 sized as (select *, replace(replace(replace(role, '\', '\b'), '</turn', '\l/turn'), '### ', '\h## ') as r,
-  replace(replace(replace(text, '\', '\b'), '</turn', '\l/turn'), '### ', '\h## ') as e from rows)
+  replace(replace(replace(text, '\', '\b'), '</turn', '\l/turn'), '### ', '\h## ') as e from alone)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(4 + length(replace(r, ':', '\c')) + 2 + length(e) + 8)::bigint as formatted_chars
-from sized group by conv_id"""
+from sized group by conv_id, one"""
 
 
 def oracle_sql() -> dict[str, str]:

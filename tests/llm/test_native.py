@@ -144,9 +144,32 @@ LAYOUTS = [
     ({"instruction": "do", "input": "", "output": "done"}, "instruction_input", [("user", "do"), ("assistant", "done")]),
     ({"question": "q", "answer": 5}, "question_answer", [("user", "q"), ("assistant", "5")]),
     ({"unknown": 1}, None, None),
+    ({"id": 7, "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo", "name": "x", "more": {"a": [1]}}]}, "messages", [("user", "hi"), ("assistant", "yo")]),
+    ({"prompt": "a", "response": "b", "system": "s", "messages": [], "odd key: <,>`": 1}, "system_prompt", [("system", "s"), ("user", "a"), ("assistant", "b")]),
+    ({"prompt": "a", "completion": "b", "source": None}, "prompt_completion", [("user", "a"), ("assistant", "b")]),
+    ({"messages": [1, 2]}, None, None),
+    ({"outer": {"prompt": "a", "response": "b"}}, None, None),
 ]
 
 
+def test_paths(spark):
+    records = ['{"b": [{"x": 1, "y": {"z": null}}, {"w": [[{"v": 1}], []]}], "a": [], "c.d": {"e f": 2}}', "[1]", "3", "{}"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in records], "r string").select(chat.paths(F.col("r"))).collect()]
+    assert got == [["a", "a[]", "b", "b[].w", "b[].w[][].v", "b[].x", "b[].y", "b[].y.z", "c.d", "c.d.e f"], [], [], []]
+
+
+def test_published_layouts_give_the_same_turns(spark):
+    said = {1: ["user", "assistant"], 2: ["system", "user", "assistant"], 3: ["user", "assistant", "user"], 4: ["user", "tool"], None: ["user", "assistant"]}
+    rows = [(c, k, role, f"{c} {k} \\ </turn>") for c, roles in said.items() for k, role in enumerate(roles)]
+    lists = chat.from_rows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = chat.canonical(chat.as_published(lists)).select("conv_id", "layout", "turns").collect()
+    assert {r["conv_id"]: r["layout"] for r in got if r["conv_id"]} == {1: "prompt_response", 2: "system_prompt", 3: "from_value", 4: "messages"}
+    assert all([t["role"] for t in r["turns"]] == said[r["conv_id"]] for r in got if r["conv_id"])
+    assert all(t["text"].startswith(f"{r['conv_id']} {k} ") for r in got if r["conv_id"] for k, t in enumerate(r["turns"]))
+    assert sorted(t["text"] for r in got if r["conv_id"] is None for t in r["turns"]) == ["None 0 \\ </turn>", "None 1 \\ </turn>"]
+    assert sum(r["conv_id"] is None for r in got) == 2
+
+
 def test_layouts(spark):
     df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in enumerate(LAYOUTS)] + [(98, "no json"), (99, None)], "k int, record string")
     got = {r["k"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.canonical(df).collect()}
