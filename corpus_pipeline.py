@@ -6,13 +6,12 @@ executor or driver costs one stage at most.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
-from docquarry.llm.common import scratch_dir
+from docquarry.scratch import delete, keep, release, scratch_mark, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,11 +48,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows.  A stage's intermediate tables, and the output of the stage before, are deleted as soon as
+    its own output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        mark = scratch_mark()
+        path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(mark)
+        if before is not None:
+            delete(spark, before)
+        before = path
+    keep(spark, before)
     return docs
 
 
