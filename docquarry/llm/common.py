@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise, release, scratch_dir, scratch_mark  # noqa: F401  the operators' one place for them
+
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_scratch: list[tuple[SparkSession, str]] = []
-_own_dir: str | None = None
-
 
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
@@ -29,41 +23,6 @@ def n_words(text: Column) -> Column:
     return F.length(squeezed).cast("long")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder of its own, kept for the process; a cluster gets
-    an error, since its machines share no such folder."""
-    global _own_dir
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="docquarry-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return "file://" + _own_dir
-
-
-def scratch_path(spark: SparkSession, name: str = "dq") -> str:
-    """A new folder for one table."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
-
-    Spark then knows the table's real size, so joins against it are broadcast only under
-    ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark)
-    df.write.option("compression", compression).parquet(path)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 SPARE = 8  # times as many rows as wanted that may pass a limit
 SCALE = 1 << 52
 
@@ -121,34 +80,6 @@ def without(docs: DataFrame, gone: DataFrame, digest: Column) -> DataFrame:
     return sure.unionByName(maybe.join(gone.hint("merge"), match, "left_anti")).drop(name)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def scratch_mark() -> int:
-    """A point in the order of intermediate tables, for ``release``."""
-    return len(_scratch)
-
-
-def keep(spark: SparkSession, path: str) -> None:
-    """Delete a table only with the process."""
-    _scratch.append((spark, path))
-
-
-def release(mark: int = 0) -> None:
-    """Delete the intermediate tables made since ``mark``, or all of this process; nothing may read them later."""
-    while len(_scratch) > mark:
-        spark, path = _scratch.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(release)
-
-
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, lengthened by underscores until no column of ``taken`` has it (case-insensitively)."""
     lower = {c.lower() for c in taken}
