@@ -11,8 +11,12 @@ the rest); within such a class a word's share follows its counts, and every word
 count.  So the score is the probability of the whole text, whatever its words, and the network starts out as the
 unigram model.
 
+Texts are turned into numbers once, in a table of two bytes a token that training and scoring read.
+
 Training: truncated backpropagation in windows whose state is carried on; each training document is in one of
-the rounds.  Shards train side by side from the same weights and a tree of averages joins them, once a round.
+the rounds.  Shards (partitions of that table as it lies, so no text is shuffled) train side by side from the same
+weights, and a tree of averages joins them, once a round.  Which documents share a shard follows from the input's
+files, so other files of the same rows give slightly other weights.
 
 Scoring: documents advance side by side in windows, states carried across windows from the first to the last
 token; longer ones go on while shorter ones have ended.
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +40,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .ngram_join import _portions
 
 HEAD = 1 << 17
 CLASSES, MEMBERS = 32, 64
 VOCABULARY = CLASSES * MEMBERS  # the end token is number 0
 ENDINGS = 64  # classes of words outside the vocabulary
-HIDDEN = 32
+HIDDEN = 16
 WINDOW = 16
 STREAMS = 256  # texts side by side; fewer, down to LEAST_STREAMS, where a shard has no more than UPDATES windows of them
 LEAST_STREAMS, UPDATES = 16, 256
 SCALE = 64  # of a window's mean gradient, before it is clipped
-RATE = 0.12
+RATE = 0.15
 ROUNDS = 2  # each trains on its own part of the training documents, together on all
-SHARD_CHARS = 12_000_000
+SHARD = 2_000_000  # tokens of a shard, about, where partitions hold fewer
+CHUNK = 2_000_000  # tokens that a shard lays out side by side at once
 FAN_IN = 16  # shards averaged at once
-GROUP = 2_000_000  # tokens that a worker scores side by side
+GROUP = 2_000_000  # tokens that a worker gathers, to score texts of like lengths side by side
+SIDE = 512
 # numbers: the vocabulary, then the classes of other words (the last for endings that are not listed), then a text's begin
 REST, BEGIN = VOCABULARY + ENDINGS - 1, VOCABULARY + ENDINGS
 
@@ -120,6 +127,45 @@ def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nd
     return (1 - z) * c + z * h, r, z, c, a
 
 
+def _exp(x: np.ndarray) -> tuple[np.ndarray | float, np.ndarray]:
+    """What was taken off each row of ``x`` and the sum of its exponentials; ``x`` becomes the exponentials."""
+    if float(x.max(initial=0)) < 80:  # a row's own maximum is only needed where a sum could leave the range
+        out = np.exp(x)
+        total = out @ np.ones(x.shape[1], dtype=np.float32)
+        if float(total.min(initial=1)) > 1e-30:
+            x[...] = out
+            return 0.0, total
+    top = x.max(axis=1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top, x.sum(axis=1)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row; ``x`` is overwritten."""
+    _, total = _exp(x)
+    x *= (1 / total)[:, None]
+    return x
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    x = np.tanh(x * np.float32(0.5))
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
+
+
+def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One gated recurrent step: state, reset gate, update gate, candidate, the candidate's recurrent part."""
+    n = HIDDEN
+    hu = h @ w["u"]
+    gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
+    r, z = gates[:, :n], gates[:, n:]
+    a = hu[:, 2 * n :]
+    c = np.tanh(x[:, 2 * n :] + r * a)
+    return (1 - z) * c + z * h, r, z, c, a
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Softmax of each row; ``x`` is overwritten."""
     x -= x.max(axis=1, keepdims=True)
@@ -130,15 +176,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Log of the sum of exponentials of each row; ``x`` is overwritten."""
-    top = x.max(axis=1)
-    x -= top[:, None]
-    np.exp(x, out=x)
-    return top + np.log(x.sum(axis=1))
+    top, total = _exp(x)
+    return top + np.log(total)
 
 
 def _kind(number: np.ndarray) -> np.ndarray:
     """The output class of each number."""
-    return np.where(number < VOCABULARY, number // MEMBERS, number - VOCABULARY + CLASSES)
+    return np.where(number < VOCABULARY, number // MEMBERS, number - VOCABULARY + CLASSES).astype(np.int16)  # sorted by radix
 
 
 def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -169,13 +213,20 @@ def document_scores(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
     if not len(docs):
         return total
     order = np.argsort(-size, kind="stable")
-    every = np.concatenate(docs)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])[order]
-    size = size[order]
-    h = np.zeros((len(docs), HIDDEN), dtype=np.float32)
-    before = np.full(len(docs), BEGIN)
+    every = np.concatenate(docs).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     wx = w["wx"] + w["bx"]
-    # sorted by length: those that go on at a place come first
+    for k in range(0, len(docs), SIDE):  # of like lengths
+        here = order[k : k + SIDE]
+        total[here] = _side_by_side(w, wx, every, begin[here], size[here])
+    return total
+
+
+def _side_by_side(w: dict[str, np.ndarray], wx: np.ndarray, every: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Scores of texts that begin at ``begin`` in ``every``, longest first: those that go on at a place come first."""
+    total = np.zeros(len(size))
+    h = np.zeros((len(size), HIDDEN), dtype=np.float32)
+    before = np.full(len(size), BEGIN)
     active = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left")
     t = 0
     while t < size[0]:
@@ -195,14 +246,12 @@ def document_scores(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
         for n in counts:
             total[:n] += logp[at : at + n]
             at += n
-    out = np.empty(len(docs))
-    out[order] = total
-    return out
+    return total
 
 
 def train(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> int:
     """Truncated backpropagation over ``docs``, in place; returns the number of tokens seen."""
-    target = np.concatenate(docs)
+    target = np.concatenate(docs).astype(np.int64)
     given = np.concatenate([[BEGIN], target[:-1]])
     fresh = np.zeros(len(target), dtype=bool)
     fresh[np.cumsum([0, *[len(d) for d in docs[:-1]]])] = True
@@ -224,11 +273,16 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> int:
         grad /= np.sqrt(total)
         w[name][at] -= grad
 
+    there, name = np.zeros(BEGIN + 1, dtype=bool), np.zeros(BEGIN + 1, dtype=np.int16)
     h = np.zeros((streams, n), dtype=np.float32)
     for t0 in range(0, length, WINDOW):
         rows = range(t0, min(t0 + WINDOW, length))
         ids = given[rows.start : rows.stop].ravel()
-        used, place = np.unique(ids, return_inverse=True)
+        there[:] = False
+        there[ids] = True
+        used = np.flatnonzero(there)
+        name[used] = np.arange(len(used))
+        place = name[ids]
         x = (w["wx"][used] + w["bx"])[place].reshape(len(rows), streams, 3 * n)
         past, kept = np.empty((len(rows), streams, n), dtype=np.float32), []
         hs = np.empty((len(rows), streams, n), dtype=np.float32)
@@ -334,10 +388,6 @@ def _most_frequent(counts: DataFrame, most: int = HEAD) -> tuple[list[bytes], np
     return [words[k] for k in order], number[order]
 
 
-def _numbers(words: list[bytes], rank: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(rank.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-
-
 def ending(word: bytes) -> str:
     return word.decode("utf-8", "replace")[-2:]
 
@@ -390,58 +440,97 @@ def _without_up(join):
     return lambda table: join(table.drop_columns(["up"]))
 
 
-def fit(texts: DataFrame, chars: int, w: dict[str, np.ndarray], names: list[bytes], code: np.ndarray, endings: dict[str, int]) -> tuple[dict[str, np.ndarray], int]:
-    """``w`` trained on all ``texts`` (doc_id, text), and the number of tokens seen; ``chars`` is the length of
-    the texts, which sets the shards; ``code`` has the numbers of the words ``names``."""
+def encode(docs: DataFrame, names: list[bytes], code: np.ndarray, count: np.ndarray, endings: dict[str, int], log_base: float, log_other: np.ndarray) -> DataFrame:
+    """Every whole text as numbers, once: rid, doc_id, held_out, n_tokens, n_known, base and share (what the words that
+    are listed in ``names`` give), codes (16 bits a token, the end last) and rest (the words that are not listed)."""
+    sent = docs.sparkSession.sparkContext.broadcast((names, np.concatenate([[0], code]), count, endings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, code, count, endings = sent.value
+        rank, log_count = {x: k for k, x in enumerate(names, 1)}, np.log10(count + 0.5)
+        for batch, texts in _portions(batches, 3):
+            words = [t.lower().split() for t in texts]
+            flat = list(chain.from_iterable(words))
+            n = np.array([len(w) for w in words], dtype=np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            number = np.fromiter(map(rank.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+            outside = np.flatnonzero(number < 0)
+            coded = code[number]
+            coded[outside] = [class_of(flat[k], endings) for k in outside]
+            sums = lambda value: np.bincount(owner, value, minlength=len(n))
+            listed, tail = number >= 0, coded >= VOCABULARY
+            logs = np.where(listed, log_count[number], 0.0)
+            known = sums(listed & (count[number] > 0)).astype(np.int64) + int(count[0] > 0)
+            base = sums(logs) + log_count[0] - (n + 1) * log_base
+            # counts of words outside the list are still to come
+            share = sums(np.where(tail, logs - log_other[np.where(tail, coded - VOCABULARY, 0)], 0.0))
+            line = np.zeros(len(flat) + len(n), dtype="<i2")
+            line[np.arange(len(flat)) + owner] = coded
+            edges = np.concatenate([[0], np.cumsum(2 * (n + 1))]).astype(np.int32)
+            codes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(line)])
+            lists = np.concatenate([[0], np.cumsum(np.bincount(owner[outside], minlength=len(n)))]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(lists), pa.array([flat[k] for k in outside], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(n + 1), pa.array(known), pa.array(base), pa.array(share), codes, rest],
+                ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "codes", "rest"],
+            )
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, codes binary, rest array<string>"
+    return materialise(numbered.mapInArrow(run, schema))
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    for x in batch.column(column):
+        yield np.frombuffer(x.as_py(), dtype="<i2")
+
+
+def fit(coded: DataFrame, tokens: int, w: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
+    """``w`` trained on all texts of ``coded`` (doc_id, codes), and the number of tokens seen; ``tokens`` is how many
+    there are, which sets how many shards there are at most."""
     seen = 0
     for turn in range(ROUNDS):
-        shards = max(1, round(chars / ROUNDS / SHARD_CHARS))
-        sent = texts.sparkSession.sparkContext.broadcast((_flat(w), names, code, endings))
+        shards = max(1, round(tokens / ROUNDS / SHARD))
+        sent = coded.sparkSession.sparkContext.broadcast(_flat(w))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flat, names, code, endings = sent.value
-            codes = dict(zip(names, code.tolist(), strict=True))
-            docs = []
+            mine, docs, held, done = _unflat(sent.value), [], 0, 0
             for batch in batches:
-                for text in batch.column(1):
-                    words = words_of(text.as_py())
-                    number = np.append(_numbers(words, codes), 0)
-                    for k in np.flatnonzero(number < 0):
-                        number[k] = class_of(words[k], endings)
+                for number in _texts(batch, 0):
                     docs.append(number)
-            if not docs:
+                    held += len(number)
+                    if held >= CHUNK:
+                        done += train(mine, docs)
+                        docs, held = [], 0
+            if docs:
+                done += train(mine, docs)
+            if not done:
                 return
-            mine = _unflat(flat)
-            tokens = train(mine, docs)
             out = _flat(mine)
             shard = TaskContext.get().partitionId()
             for k in range(0, len(out), PIECE):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int64()), pa.array([k // PIECE], pa.int32()), pa.array([tokens], pa.int64()), pa.array([out[k : k + PIECE].tobytes()], pa.binary())],
+                    [pa.array([shard], pa.int64()), pa.array([k // PIECE], pa.int32()), pa.array([done], pa.int64()), pa.array([out[k : k + PIECE].tobytes()], pa.binary())],
                     ["shard", "piece", "tokens", "data"],
                 )
 
-        some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("doc_id", "text")
-        # shards by volume, not by key: each returns all weights, so there are as many as the corpus needs
-        some = some.repartition(shards).sortWithinPartitions("doc_id", "text")
+        some = coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("codes").coalesce(shards)
         parts = materialise(some.mapInArrow(run, "shard long, piece int, tokens long, data binary"))
-        top, tokens = parts.agg(F.max("shard"), F.sum(F.when(F.col("piece") == 0, F.col("tokens")))).first()
+        top, done = parts.agg(F.max("shard"), F.sum(F.when(F.col("piece") == 0, F.col("tokens")))).first()
         if top is not None:
             w = _unflat(_average(parts, max(2, top + 1)))
-            seen += tokens
+            seen += done
         sent.unpersist()
     return w, seen
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learn = docs.where(~F.col("held_out"))
-    size = learn.agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")).first()
     counts = materialise(word_counts(learn))
     whole = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    ends = int(size["docs"])
+    ends = learn.count()
     n, v = int(whole["n"] or 0) + ends, int(whole["v"]) + (ends > 0)
     names, found = _most_frequent(counts)
     # number 0 is the end token, then words by frequency
@@ -449,58 +538,37 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     listed = count[:VOCABULARY]
     endings, others, kinds = _endings(counts, names[: VOCABULARY - 1], found[: VOCABULARY - 1])
     code = np.array([k if k < VOCABULARY else class_of(x, endings) for k, x in enumerate(names, 1)], dtype=np.int64)
-    w, _ = fit(learn, int(size["chars"] or 0), start_weights(listed, others), names, code, endings)
-
     log_base = float(np.log10(n + 0.5 * (v + 1)))
-    log_other = np.log10(others + 0.5 * (kinds + 1))
-    sent = spark.sparkContext.broadcast((_flat(w), names, np.concatenate([[0], code]), count, endings))
+    coded = encode(docs, names, code, count, endings, log_base, np.log10(others + 0.5 * (kinds + 1)))
+    w, _ = fit(coded.where(~F.col("held_out")), n, start_weights(listed, others))
+    sent = docs.sparkSession.sparkContext.broadcast(_flat(w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, names, code, count, endings = sent.value
-        w, rank = _unflat(flat), {x: k for k, x in enumerate(names, 1)}
-        log_count = np.log10(count + 0.5)
-        ids, out, held, tokens, rest = [], [], [], 0, []
-
-        def flush() -> pa.RecordBatch:
-            logp = document_scores(w, held) / np.log(10)
-            cols = [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([x[2] for x in ids], pa.bool_())]
-            numbers = np.array(out, dtype=np.float64).reshape(-1, 4)
-            cols += [pa.array(numbers[:, k].astype(np.int64)) for k in (0, 1)] + [pa.array(numbers[:, 2]), pa.array(numbers[:, 3] + logp)]
-            cols.append(pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string())))
-            for x in (ids, out, held, rest):
-                x.clear()
-            return pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+        w, waiting, texts, tokens = _unflat(sent.value), [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            logp, at = document_scores(w, texts) / np.log(10), 0
+            for batch in waiting:
+                here = pa.array(logp[at : at + batch.num_rows] + batch.column(5).to_numpy())
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], batch.column(6), here], ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
         for batch in batches:
-            for rid, doc, text, back in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                number = np.append(_numbers(words, rank), 0)
-                outside = np.flatnonzero(number < 0)
-                found = number[number >= 0]
-                known = int((count[found] > 0).sum())
-                ids.append((rid, doc, back))
-                coded = code[number]
-                for k in outside:
-                    coded[k] = class_of(words[k], endings)
-                other = coded[coded >= VOCABULARY] - VOCABULARY
-                # counts of words outside the head are still to come
-                out.append((len(number), known, log_count[found].sum() - len(number) * log_base, log_count[found[found >= VOCABULARY]].sum() - log_other[other].sum()))
-                held.append(coded)
-                rest.append([words[k] for k in outside])
-                tokens += len(number)
-                if tokens >= GROUP:
-                    yield flush()
-                    tokens = 0
-        if ids:
-            yield flush()
-
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<string>"
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out")
-    rows = materialise(numbered.mapInArrow(run, schema))
-    outside = rows.select("rid", F.explode("rest").alias("word"))
+            waiting.append(batch.drop_columns(["codes"]))
+            texts.extend(_texts(batch, 7))
+            tokens = sum(map(len, texts))
+            if tokens >= GROUP:
+                yield from flush()
+                waiting, texts = [], []
+        if waiting:
+            yield from flush()
+
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    rows = coded.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "share", "base", "codes").mapInArrow(run, schema)
+    outside = coded.select("rid", F.explode("rest").alias("word"))
     met = outside.join(counts, "word", "left").select("rid", F.coalesce("c", F.lit(0)).alias("c"))
     late = met.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("late"), F.sum((F.col("c") > 0).cast("long")).alias("late_known"))
-    out = rows.drop("rest").join(late, "rid", "left")
+    out = rows.join(late, "rid", "left")
     more = F.coalesce("late", F.lit(0.0))
     return out.select(
         "doc_id",
