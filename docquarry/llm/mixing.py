@@ -10,12 +10,14 @@ one cut key per source, a table as long as the number of sources, and each docum
 where it lies.  A source with a third of all rows is spread over all ranges.
 
 Defined results: null text has 0 words; a null source is a source of its own, last; documents with equal
-doc_id have equal keys and are taken or left together; documents without words are in the first epoch's
-order but change no budget; an empty table gives an empty table.
+doc_id have equal keys and are taken or left together, those without one by their text; documents without words are
+in the first epoch's order but change no budget; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -25,11 +27,13 @@ from .common import free_name, materialise, n_words
 WEIGHTS = (5, 2, 1)  # by source in code point order, repeating
 SHARE = 1.5  # of all words
 MAX_EPOCHS = 2  # no source is taken more often
-RANGE_DIGITS = 3  # 4096 key ranges for each source
+RANGE_ROWS = 100_000  # rows of all sources for each key range of a source, about
+LEAST_DIGITS = 3  # 4096 key ranges for each source
 
 
-def _key(doc_id):
-    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def _key(doc_id, text):
+    """Hash-random; rows without a doc_id take theirs from the text, so that they aren't taken or left as a block."""
+    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -61,9 +65,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
 def cuts(docs: DataFrame, **plan) -> DataFrame:
     """One row per source: src, source_size, target, epochs (whole ones) and cut_key (documents up to and
     including it are taken once more; null: none)."""
-    small = materialise(
-        docs.select(F.col("source").alias("src"), _key("doc_id").alias("k"), n_words(F.col("text")).alias("n")).withColumn("r", F.substring("k", 1, RANGE_DIGITS))
-    )
+    small = materialise(docs.select(F.col("source").alias("src"), _key("doc_id", "text").alias("k"), n_words(F.col("text")).alias("n")))
+    # as many hexadecimal digits as keep the range in which a budget ends small, whatever the number of rows
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, small.count() / RANGE_ROWS), 16)))
+    small = small.withColumn("r", F.substring("k", 1, digits))
     ranges = materialise(small.groupBy("src", "r").agg(F.sum("n").alias("n")))
     goal = materialise(targets(ranges.groupBy("src").agg(F.sum("n").alias("source_size")), **plan))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -91,7 +96,7 @@ def mix(docs: DataFrame, **plan) -> DataFrame:
     cut = cuts(docs, **plan)
     cut = cut.select(*[F.col(c).alias(at[c]) for c in cut.columns])
     df = docs.withColumn(at["size"], n_words(F.col("text"))).join(cut, F.col("source").eqNullSafe(F.col(at["src"])))
-    once_more = (_key("doc_id") <= F.col(at["cut_key"])).cast("long")
+    once_more = (_key("doc_id", "text") <= F.col(at["cut_key"])).cast("long")
     df = df.withColumn(at["copies"], F.col(at["epochs"]) + F.coalesce(once_more, F.lit(0)))
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(at[c]) for c in ("size", "source_size", "target", "copies")])
 

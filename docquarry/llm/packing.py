@@ -10,11 +10,13 @@ share is numbered in many tasks.
 
 Defined results: null and empty texts are one end token; a document longer than the capacity is cut into full
 pieces and a shorter last one; rows that repeat a doc_id are packed like others; an empty table gives an
-empty table; other columns are not read.
+empty table; other columns are not read.  A word of any length is one entry of the cache, which holds whole words; a
+tokenizer file whose steps aren't those of ``BY_WORD`` is applied to whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -32,7 +34,8 @@ from .common import materialise
 
 CAPACITY = 4096
 END_ID = 1
-BUCKETS = 256  # hash buckets for each length
+BUCKET = 100_000  # pieces of all lengths for each hash bucket of a length, so that no bucket of a hot length holds more
+LEAST_BUCKETS = 256
 CACHE = 800_000  # words whose ids a Python worker remembers
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -133,13 +136,43 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_tools: dict[str, WordIds] = {}
+#: The steps of a tokenizer file before its merges that let words be looked up one by one.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
-def word_ids(path: str) -> WordIds:
-    """The cache for a tokenizer file, one for each Python worker, kept from task to task."""
+class TextIds:
+    """Token ids of whole texts by the tokenizer itself, for files whose steps aren't known to work word by word."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+
+    def __call__(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+_tools: dict[str, WordIds | TextIds] = {}
+
+
+def word_ids(path: str) -> WordIds | TextIds:
+    """What turns texts into ids for a tokenizer file, one for each Python worker, kept from task to task."""
     if path not in _tools:
-        _tools[path] = WordIds(path)
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        by_word = all(steps.get(k) == v for k, v in BY_WORD.items()) and (steps.get("model") or {}).get("type") == "BPE"
+        _tools[path] = WordIds(path) if by_word else TextIds(path)
     return _tools[path]
 
 
@@ -235,7 +268,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece with sequence_id and offset."""
     cut = materialise(pieces(docs, path, capacity))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
+    buckets = max(LEAST_BUCKETS, -(-cut.count() // BUCKET))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
     cut = cut.withColumn("bucket", bucket)
     sizes = materialise(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     # at most `capacity` rows

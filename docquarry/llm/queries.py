@@ -118,7 +118,7 @@ from votes, model{q.ROUNDS}"""
 
 
 MIXING_SQL = r"""
-with d as (select doc_id, source, md5(coalesce(doc_id::varchar, '')) as k,
+with d as (select doc_id, source, md5(coalesce(doc_id::varchar, 'text ' || sha256(coalesce(text, '')))) as k,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ([5, 2, 1])[(row_number() over (order by source is null, source) - 1) % 3 + 1] as w, source_size * 2 as cap from s),

@@ -96,6 +96,14 @@ def test_mix_by_brute_force(spark, odd):
         assert 0 <= r["copies"] <= 2
 
 
+def test_mix_divides_rows_without_an_id(spark):
+    """Half of the source's words are wanted, and none of its rows has a doc_id."""
+    rows = [(None, f"word {k}", "a") for k in range(400)] + [(k, "one two three four five six", "b") for k in range(400)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.6)
+    taken = {r["source"]: (r["taken"], r["target"]) for r in out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(abs(got - target) <= 6 and got for got, target in taken.values())
+
+
 def test_mix_comes_near_targets(spark):
     rng = random.Random(1)
     rows = [(k, "w " * rng.randint(1, 9), "hot" if k % 3 else f"s{k % 7}") for k in range(6000)]
