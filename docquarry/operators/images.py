@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Ink colours as (low, high) of hue 0-179, saturation and value 0-255.
 INKS = [
@@ -22,6 +23,9 @@ INKS = [
     ((90, 40, 15), (125, 200, 160)),
     ((0, 0, 0), (179, 60, 80)),
 ]
+#: Linear RGB to XYZ, and the white that it is relative to.
+RGB_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+WHITE = np.array([0.950456, 1.0, 1.088754])
 
 
 def decode(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -240,8 +244,8 @@ def ink_density(g: np.ndarray) -> float:
     return float((g < 200).mean()) if g.size else 0.0
 
 
-def components(mask: np.ndarray) -> list[tuple[float, int, int, int, int, int, int, int]]:
-    """(area, x, y, w, h, cx, cy, border pixels) of 8-connected regions, by runs of rows joined downwards."""
+def regions(mask: np.ndarray) -> list[np.ndarray]:
+    """The 8-connected regions of a mask, each an array of runs (y, x begin, x end), found by joining runs downwards."""
     starts: list[tuple[int, int, int]] = []
     parent: list[int] = []
 
@@ -268,25 +272,121 @@ def components(mask: np.ndarray) -> list[tuple[float, int, int, int, int, int, i
                 parent[root(above[j])] = root(me)
                 j += 1
         above = here
-    edge = mask & ~erode(mask, 3)
-    border = np.pad(edge.cumsum(axis=1), ((0, 0), (1, 0)))
     groups: dict[int, list[tuple[int, int, int]]] = {}
     for i, run in enumerate(starts):
         groups.setdefault(root(i), []).append(run)
+    return [np.array(runs) for runs in groups.values()]
+
+
+def _measures(r: np.ndarray) -> tuple[float, int, int, int, int, int, int]:
+    """(area, x, y, w, h, cx, cy) of a region's runs."""
+    n = r[:, 2] - r[:, 1]
+    area = int(n.sum())
+    x, y = int(r[:, 1].min()), int(r[:, 0].min())
+    w, h = int(r[:, 2].max()) - x, int(r[:, 0].max()) + 1 - y
+    cx = int(((r[:, 1] + r[:, 2] - 1) / 2 * n).sum() / area)
+    return float(area), x, y, w, h, cx, int((r[:, 0] * n).sum() / area)
+
+
+def components(mask: np.ndarray) -> list[tuple[float, int, int, int, int, int, int, int]]:
+    """(area, x, y, w, h, cx, cy, border pixels) of the regions of a mask."""
+    edge = mask & ~erode(mask, 3)
+    border = np.pad(edge.cumsum(axis=1), ((0, 0), (1, 0)))
     out = []
-    for runs in groups.values():
-        r = np.array(runs)
-        n = r[:, 2] - r[:, 1]
-        area = int(n.sum())
-        x, y = int(r[:, 1].min()), int(r[:, 0].min())
-        w, h = int(r[:, 2].max()) - x, int(r[:, 0].max()) + 1 - y
-        cx = int(((r[:, 1] + r[:, 2] - 1) / 2 * n).sum() / area)
-        cy = int((r[:, 0] * n).sum() / area)
+    for r in regions(mask):
         rim = int((border[r[:, 0], r[:, 2]] - border[r[:, 0], r[:, 1]]).sum())
-        out.append((float(area), x, y, w, h, cx, cy, rim))
+        out.append((*_measures(r), rim))
     return sorted(out, key=lambda c: (c[2], c[1]))
 
 
+def outline(runs: np.ndarray) -> np.ndarray:
+    """The outer border of a region as a closed walk over its pixels (x, y), each step to one of eight neighbours."""
+    x0, y0 = int(runs[:, 1].min()), int(runs[:, 0].min())
+    cell = np.zeros((int(runs[:, 0].max()) - y0 + 3, int(runs[:, 2].max()) - x0 + 2), dtype=bool)
+    for y, a, b in runs:
+        cell[y - y0 + 1, a - x0 + 1 : b - x0 + 1] = True
+    around = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+    first = np.flatnonzero(cell[1])[0]
+    at, facing = (int(first), 1), 0
+    begin, points = None, []
+    while True:
+        for turn_ in range(8):
+            k = (facing + 6 + turn_) % 8  # from two steps to the left of where it faces, clockwise
+            x, y = at[0] + around[k][0], at[1] + around[k][1]
+            if cell[y, x]:
+                break
+        else:
+            points.append(at)
+            break
+        if (at, k) == begin:
+            break
+        begin = begin or (at, k)
+        points.append(at)
+        at, facing = (x, y), k
+    return np.array(points) + [x0 - 1, y0 - 1]
+
+
+def corners(points: np.ndarray, share: float = 0.02) -> int:
+    """How many points a closed walk keeps when it may leave its path by ``share`` of its length: two far points, and
+    recursively the farthest from the straight line between kept ones."""
+    steps = np.diff(np.vstack([points, points[:1]]), axis=0)
+    allowed = share * float(np.hypot(steps[:, 0], steps[:, 1]).sum())
+    if len(points) < 3:
+        return len(points)
+    far = 0
+    for _ in range(3):  # towards a pair of points that lie far apart
+        gap = np.hypot(*(points - points[far]).T)
+        begin, far = far, int(gap.argmax())
+    ring = np.roll(points, -begin, axis=0)
+    half = (far - begin) % len(points)
+    if half == 0:
+        return 1
+    ring = np.vstack([ring, ring[:1]])
+    kept, spans = 2, [(0, half), (half, len(ring) - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        (px, py), (qx, qy) = ring[a], ring[b]
+        length = max(float(np.hypot(qx - px, qy - py)), 1e-9)
+        off = np.abs((qx - px) * (ring[a + 1 : b, 1] - py) - (qy - py) * (ring[a + 1 : b, 0] - px)) / length
+        if off.max() > allowed:
+            middle = a + 1 + int(off.argmax())
+            kept += 1
+            spans += [(a, middle), (middle, b)]
+    return kept
+
+
+def circle(mask: np.ndarray, least: int = 15, most: int = 250, enough: int = 20) -> tuple[int, int, int] | None:
+    """(x, y, radius) of the strongest circle: edge pixels vote along their gradients for centres, and the radius is
+    the distance that most of them have from the best centre.  None below ``enough`` votes, or where edges are missing
+    on more than a third of the circle."""
+    soft = blur(mask.astype(np.float64) * 255, 9, 2)
+    gy, gx = np.gradient(soft)
+    steep = np.hypot(gx, gy)
+    y, x = np.nonzero(mask & ~erode(mask, 3) & (steep > 1))
+    if not len(y):
+        return None
+    uy, ux = gy[y, x] / steep[y, x], gx[y, x] / steep[y, x]
+    h, w = mask.shape
+    votes = np.zeros((h, w), dtype=np.int32)
+    for r in range(least, min(most, max(h, w)) + 1):
+        for sign in (1, -1):
+            cy, cx = np.rint(y + sign * r * uy).astype(int), np.rint(x + sign * r * ux).astype(int)
+            inside = (cy >= 0) & (cy < h) & (cx >= 0) & (cx < w)
+            votes += np.bincount(cy[inside] * w + cx[inside], minlength=h * w).reshape(h, w).astype(np.int32)
+    votes = box_sum(votes, 3)
+    cy, cx = np.unravel_index(int(votes.argmax()), votes.shape)
+    away = np.rint(np.hypot(y - cy, x - cx)).astype(int)
+    support = np.bincount(away[(away >= least) & (away <= most)], minlength=most + 2)
+    radius = int((support[:-1] + support[1:]).argmax())
+    on = np.abs(away - radius) <= 2
+    sides = np.unique(np.floor(np.arctan2(y[on] - cy, x[on] - cx) / (2 * np.pi) * 36)).size
+    if votes[cy, cx] < enough or sides < 24:  # two thirds of the way round, at least
+        return None
+    return int(cx), int(cy), max(radius, least)
+
+
 def circularity(area: float, rim: int) -> float:
     return 4 * np.pi * area / max(rim, 1) ** 2
 
@@ -301,11 +401,11 @@ def stamp_hits(image: np.ndarray) -> list[tuple[str, float, list[int]]]:
     hits = []
     if image.ndim == 3:
         mask = colour_mask(image)
-        if mask.sum() * 255 >= 1600:
-            found = [(w, x, y, w, h) for a, x, y, w, h, *_ in components(mask) if 30 <= w <= 500 and 0.75 <= w / max(h, 1) <= 1.33 and a >= 0.05 * w * h and circularity(a, 1) > 0]
-            if found:
-                _, x, y, w, h = max(found)
-                hits.append(("hough_circle", 0.90, _box(x, y, w, h, max(12, w // 8))))
+        found = circle(mask) if mask.sum() * 255 >= 1600 else None
+        if found:
+            x, y, r = found
+            pad = max(12, r // 4)
+            hits.append(("hough_circle", 0.90, [max(0, x - r - pad), max(0, y - r - pad), x + r + pad, y + r + pad]))
     outlined = dilate(edges(g, 100), 3, 2)
     filled = [(circularity(a, r) * np.log(a + 1), x, y, w, h) for a, x, y, w, h, _, _, r in components(outlined) if a >= 800 and circularity(a, r) >= 0.25]
     if filled:
@@ -340,6 +440,48 @@ def strokes(image: np.ndarray, part: float = 0.6) -> list[tuple[float, int, int,
     return [(a, x, y + top, w, h, cx, cy + top, r) for a, x, y, w, h, cx, cy, r in components(ink(zone))] if zone.size else []
 
 
+def curved(g: np.ndarray, least: int = 5, shortest: int = 10) -> list[tuple[float, int, int, int, int, int, int]]:
+    """Regions darker than their surroundings whose outline needs ``least`` corners or more."""
+    out = []
+    for runs in regions(binarise(g, 21, 8) == 0):
+        if (runs[:, 2] - runs[:, 1]).sum() < 80:
+            continue
+        walk = outline(runs)
+        if len(walk) >= shortest and corners(walk) >= least:
+            out.append(_measures(runs))
+    return sorted(out, key=lambda c: (c[2], c[1]))
+
+
+def zone_strokes(image: np.ndarray, method: str, zone: list[int]) -> list[tuple[float, int, int, int, int, int, int]]:
+    """(area, x, y, w, h, cx, cy) of the ink in a zone, in page coordinates: what its method looks at."""
+    x0, y0, x1, y1 = zone
+    part = gray(image)[y0:y1, x0:x1]
+    if not part.size:
+        return []
+    found = curved(part) if method == "curvature" else [c[:7] for c in components(ink(part))]
+    return [(a, x + x0, y + y0, w, h, cx + x0, cy + y0) for a, x, y, w, h, cx, cy in found]
+
+
+def page_zone_strokes(images: DataFrame, zones: DataFrame) -> DataFrame:
+    """Stroke rows (doc_id, method, stroke_idx, area, x, y, w, h, cx, cy) of every zone (doc_id, method, zone) of Spark
+    image rows; a page and its few zones meet by document, images are not returned."""
+    fields = ["doc_id", "method", "stroke_idx", "area", "x", "y", "w", "h", "cx", "cy"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                image = decode(bytes(r.data), r.height, r.width, r.nChannels)
+                for z in r.zones:
+                    for k, (a, x, y, w, h, cx, cy) in enumerate(zone_strokes(image, z["method"], list(z["zone"]))):
+                        rows.append((r.doc_id, z["method"], k, a, x, y, w, h, cx, cy))
+            yield pd.DataFrame(rows, columns=fields)
+
+    lists = zones.groupBy("doc_id").agg(F.collect_list(F.struct("method", "zone")).alias("zones"))
+    cols = images.join(lists, "doc_id").select("doc_id", "image.height", "image.width", "image.nChannels", "image.data", "zones")
+    return cols.mapInPandas(run, "doc_id string, method string, stroke_idx long, area double, x int, y int, w int, h int, cx int, cy int")
+
+
 def page_strokes(images: DataFrame, part: float = 0.6) -> DataFrame:
     """Stroke rows of Spark image rows; the image itself isn't shuffled or returned."""
 
@@ -377,20 +519,72 @@ def page_stamps(images: DataFrame, fraction: float = 0.5) -> DataFrame:
     return cols.mapInPandas(run, "doc_id string, region string, method string, present boolean, confidence double, bbox array<int>")
 
 
-def preprocess(images: DataFrame) -> DataFrame:
-    """doc_id, rotation_applied, skew_applied, original and final size, and the cleaned gray page."""
+def lab(image: np.ndarray) -> np.ndarray:
+    """Lightness (0 to 100) and two opponent colours of BGR, under daylight."""
+    c = image[..., ::-1].astype(np.float64) / 255
+    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    xyz = c @ RGB_XYZ.T / WHITE
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    return np.stack([np.where(xyz[..., 1] > 0.008856, 116 * f[..., 1] - 16, 903.3 * xyz[..., 1]), 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def from_lab(x: np.ndarray) -> np.ndarray:
+    fy = (x[..., 0] + 16) / 116
+    f = np.stack([fy + x[..., 1] / 500, fy, fy - x[..., 2] / 200], axis=-1)
+    xyz = np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787) * WHITE
+    c = np.clip(xyz @ np.linalg.inv(RGB_XYZ).T, 0, 1)
+    c = np.where(c <= 0.0031308, c * 12.92, 1.055 * c ** (1 / 2.4) - 0.055)
+    return np.rint(c[..., ::-1] * 255).astype(np.uint8)
+
+
+def equalise_colour(image: np.ndarray) -> np.ndarray:
+    """Contrast of the lightness alone; colours stay."""
+    if image.ndim == 2:
+        return equalise(image)
+    x = lab(image)
+    x[..., 0] = equalise(np.rint(x[..., 0] * 2.55).astype(np.uint8)) / 2.55
+    return from_lab(x)
+
+
+def clean(image: np.ndarray, denoised: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
+    """The page at working size, upright and straight: in colour with better contrast, gray and denoised, in black and
+    white; and how it was turned, in quarters and by its skew."""
+    image = fit_working_size(image)
+    angle = rotation(gray(image))
+    image = turn(image, angle)
+    lean = skew(gray(image))
+    image = deskew(image, lean)
+    g = gray(image)
+    g = equalise(denoise(g) if denoised else g)
+    return equalise_colour(image), g, binarise(g), angle, lean
+
+
+def preprocess(images: DataFrame, denoised: bool = True) -> DataFrame:
+    """doc_id, rotation_applied, skew_applied, original and final size, and the cleaned page in colour (BGR), gray and
+    black and white.  ``denoised=False`` leaves out the one slow step."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                colour, g, binary, angle, lean = clean(decode(bytes(r.data), r.height, r.width, r.nChannels), denoised)
+                rows.append((r.doc_id, angle, lean, r.width, r.height, g.shape[1], g.shape[0], g.tobytes(), binary.tobytes(), colour.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "rotation_applied", "skew_applied", "width", "height", "final_width", "final_height", "gray", "binary", "colour"])
+
+    cols = images.select("doc_id", "image.height", "image.width", "image.nChannels", "image.data")
+    return cols.mapInPandas(run, "doc_id string, rotation_applied int, skew_applied double, width int, height int, final_width int, final_height int, gray binary, binary binary, colour binary")
+
+
+def page_measures(images: DataFrame) -> DataFrame:
+    """doc_id, sum of the gray page, Otsu's threshold, share of ink below 200, and quarter turns to upright."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                image = fit_working_size(decode(bytes(r.data), r.height, r.width, r.nChannels))
-                angle = rotation(gray(image))
-                image = turn(image, angle)
-                lean = skew(gray(image))
-                g = equalise(gray(deskew(image, lean)))
-                rows.append((r.doc_id, angle, lean, r.width, r.height, g.shape[1], g.shape[0], g.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "rotation_applied", "skew_applied", "width", "height", "final_width", "final_height", "gray"])
+                g = gray(decode(bytes(r.data), r.height, r.width, r.nChannels))
+                rows.append((r.doc_id, int(g.sum(dtype=np.int64)), otsu(g), ink_density(g), rotation(g)))
+            yield pd.DataFrame(rows, columns=["doc_id", "gray_sum", "threshold", "density", "turned"])
 
     cols = images.select("doc_id", "image.height", "image.width", "image.nChannels", "image.data")
-    return cols.mapInPandas(run, "doc_id string, rotation_applied int, skew_applied double, width int, height int, final_width int, final_height int, gray binary")
+    return cols.mapInPandas(run, "doc_id string, gray_sum long, threshold int, density double, turned int")
