@@ -66,3 +66,13 @@ def model_size(width: Column, height: Column, longest: int) -> Column:
     small = F.greatest(width, height) <= longest
     size = lambda v: F.when(small, v).otherwise(F.greatest(F.lit(1), F.rint(v * scale).cast("int")))
     return F.struct(size(width).alias("w"), size(height).alias("h"))
+
+
+def working_size(width: Column, height: Column, longest: int = 2048, shortest: int = 800) -> Column:
+    """Size that brings the long side down to ``longest``, or else the short side up to ``shortest``; changes of less
+    than one percent are left."""
+    long, short = F.greatest(width, height), F.least(width, height)
+    scale = F.when(long > longest, F.lit(longest) / long).when(short < shortest, F.lit(shortest) / short).otherwise(1.0)
+    scale = F.when(F.abs(scale - 1) < 0.01, 1.0).otherwise(scale)
+    size = lambda v: F.greatest(F.lit(1), F.floor(v * scale).cast("int"))
+    return F.struct(size(width).alias("w"), size(height).alias("h"))

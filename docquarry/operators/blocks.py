@@ -98,63 +98,136 @@ def page_texts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(joined.alias("full_text"))
 
 
+# The field parser.  A page's blocks are collected once; each field is an expression on that array, so the whole parser
+# is one shuffle by document.
+
+_ITEM = "array<struct<i:bigint,t:string,raw:string,c:double,x1:double,y1:double,y2:double,cy:double>>"
+_LINE = "struct<y:double,items:array<struct<x:double,y:double,i:bigint,t:string>>>"
+
+
+def pages_of(blocks: DataFrame, compose: bool = True) -> DataFrame:
+    """(doc_id, b, h): a page's blocks in block order, texts composed, and the page's height (9999 if unknown)."""
+    box = F.col("bbox")
+    composed = text.nfc(F.col("text")) if compose else F.col("text")
+    df = blocks.withColumn("composed_", composed)
+    item = F.struct(
+        F.col("block_idx").cast("long").alias("i"), F.col("composed_").alias("t"), F.col("text").alias("raw"), F.col("confidence").cast("double").alias("c"),
+        box[0].cast("double").alias("x1"), box[1].cast("double").alias("y1"), box[3].cast("double").alias("y2"), geometry.centre_y(box).cast("double").alias("cy"),
+    )
+    height = F.max(F.when(F.col("image_h") > 0, F.col("image_h")).otherwise(9999))
+    return df.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).cast(_ITEM).alias("b"), height.alias("h"))
+
+
+def _full(b: Column) -> Column:
+    return F.array_join(F.transform(b, lambda x: x["t"]), " ")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _lines(b: Column, tolerance: float = 12) -> Column:
+    """Texts of a page's lines, top to bottom: gaps and islands over centre_y, as a fold over the sorted blocks."""
+    order = F.sort_array(F.transform(b, lambda x: F.struct(x["cy"].alias("cy"), x["i"].alias("i"), x["x1"].alias("x"), x["t"].alias("t"))))
+    item = lambda x: F.struct(x["x"].alias("x"), x["cy"].alias("y"), x["i"].alias("i"), x["t"].alias("t"))
+    kind = f"array<{_LINE}>"
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        here = F.struct(x["cy"].alias("y"), F.array_append(last["items"], item(x)).alias("items"))
+        new = F.array_append(done, F.struct(x["cy"].alias("y"), F.array(item(x)).alias("items")))
+        return F.when((F.size(done) == 0) | (x["cy"] - F.try_element_at(done, F.lit(-1))["y"] > tolerance), new).otherwise(F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), here))
+
+    return F.transform(F.aggregate(order, F.array().cast(kind), step), lambda line: F.array_join(F.transform(F.sort_array(line["items"]), lambda x: x["t"]), " "))
+
+
+def _hp(b: Column) -> Column:
+    """The most frequent horse power over the whole text and then the blocks; of equally frequent ones, the first."""
+    seen = F.filter(F.concat(F.array(amounts.extract_hp(_full(b), False)), F.transform(b, lambda x: amounts.extract_hp(x["t"], False))), lambda v: v.isNotNull())
+
+    def best(values: Column) -> Column:
+        each = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-F.array_position(values, v)).alias("f"), v.alias("v")))
+        top = F.array_max(each)
+        return F.struct(top["v"].alias("value"), F.when(top.isNotNull(), F.least(F.lit(0.95), 0.6 + top["n"] * 0.15)).alias("confidence"))
+
+    return _let(seen, best)
+
+
+def _dealer(b: Column, h: Column) -> Column:
+    """The longest candidate in the top three tenths of the page, or in its first eight blocks."""
+    top = F.filter(b, lambda x: x["y2"] <= h * 0.3)
+    first = F.slice(F.array_sort(b, lambda p, q: F.when(p["y1"] != q["y1"], F.when(p["y1"] < q["y1"], -1).otherwise(1)).when(p["i"] < q["i"], -1).when(p["i"] > q["i"], 1).otherwise(0)), 1, 8)
+    chosen = F.filter(F.when(F.size(top) > 0, top).otherwise(first), lambda x: text.is_dealer_candidate(x["raw"]))
+    pick = F.array_max(F.transform(chosen, lambda x: F.struct(F.length(x["raw"]).alias("n"), (-x["y1"]).alias("y"), (-x["i"]).alias("i"), x["t"].alias("t"), x["c"].alias("c"))))
+
+    def named(p: Column) -> Column:
+        return _let(text.normalise_dealer_name(p["t"], False), lambda name: F.when(F.length(name) >= 3, F.struct(name.alias("value"), F.least(F.lit(0.9), 0.5 + p["c"] * 0.4).alias("confidence"))))
+
+    return _let(pick, named)
+
+
+def _model(b: Column, lines: Column) -> Column:
+    """A labelled name (.85), else the first short line with a brand (.75)."""
+
+    def labelled(full: Column) -> Column:
+        found = []
+        for pattern in MODEL_LABELS:
+            raw = text.strip(F.regexp_extract(full, f"(?iU){pattern}(.{{3,60}})", 1))
+            found.append(F.nullif(text.strip(F.get(F.split(raw, r"[\n\r]"), F.lit(0))), F.lit("")))
+        return text.clean_text(F.coalesce(*found), False)
+
+    short = F.filter(F.transform(F.filter(lines, text.has_brand), lambda t: text.clean_text(t, False)), lambda t: F.size(F.filter(F.split(t, " "), lambda w: w != "")) <= 8)
+    both = F.array(F.struct(_let(_full(b), labelled).alias("value"), F.lit(0.85).alias("confidence")), F.struct(F.get(short, F.lit(0)).alias("value"), F.lit(0.75).alias("confidence")))
+    return F.get(F.filter(both, lambda m: m["value"].isNotNull()), F.lit(0))
+
+
+def _cost(b: Column, lines: Column, h: Column) -> Column:
+    """The first plausible amount of a row of totals (.90), the largest of the bottom half (.70), of the page (.55)."""
+    total = F.filter(F.transform(F.filter(lines, text.is_total_row), lambda t: F.get(F.filter(amounts.extract_all_amounts(t, False), amounts.plausible), F.lit(0))), lambda v: v.isNotNull())
+    largest = lambda part: amounts.largest_plausible(amounts.extract_all_amounts(_full(part), False))
+    tries = [(F.get(total, F.lit(0)), 0.90), (largest(F.filter(b, lambda x: x["y1"] >= h * 0.5)), 0.70), (largest(b), 0.55)]
+    found = F.lit(None).cast("struct<value:bigint,confidence:double>")
+    for value, confidence in reversed(tries):
+        found = _let(value, _or(confidence, found))
+    return found
+
+
+def _or(confidence: float, rest: Column):
+    return lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(confidence).alias("confidence"))).otherwise(rest)
+
+
+def _field(pages: DataFrame, name: str, found: Column) -> DataFrame:
+    df = pages.select("doc_id", found.alias("f")).where("f.value is not null")
+    return df.select("doc_id", F.col("f.value").alias(name), F.col("f.confidence").alias(f"{name}_confidence"))
+
+
 def hp_mode(blocks: DataFrame, compose: bool = True) -> DataFrame:
-    """(doc_id, hp, hp_confidence): the most frequent horse power over the whole text and then the blocks; of
-    equally frequent ones, the first seen."""
-    whole = page_texts(blocks).select("doc_id", F.lit(-1).cast("long").alias("pos"), amounts.extract_hp(F.col("full_text"), compose).alias("v"))
-    each = blocks.select("doc_id", F.col("block_idx").cast("long").alias("pos"), amounts.extract_hp(F.col("text"), compose).alias("v"))
-    found = whole.unionByName(each).where("v is not null").groupBy("doc_id", "v").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    best = found.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "v")).alias("b"))
-    return best.select("doc_id", F.col("b.v").alias("hp"), F.least(F.lit(0.95), 0.6 + F.col("b.n") * 0.15).alias("hp_confidence"))
+    """(doc_id, hp, hp_confidence) of the documents that have one."""
+    return _field(pages_of(blocks, compose), "hp", _hp(F.col("b")))
 
 
 def dealer_names(blocks: DataFrame, compose: bool = True) -> DataFrame:
-    """(doc_id, dealer, dealer_confidence) from the top three tenths of the page, or its first eight blocks."""
-    top = (F.col("bbox")[3] <= F.when(F.col("image_h") > 0, F.col("image_h")).otherwise(9999) * 0.3).cast("int")
-    per_doc = Window.partitionBy("doc_id")
-    first = Window.partitionBy("doc_id").orderBy(F.col("bbox")[1], "block_idx")
-    df = blocks.withColumn("top_", top).withColumn("any_", F.max("top_").over(per_doc)).withColumn("r_", F.row_number().over(first))
-    df = df.where(((F.col("any_") == 1) & (F.col("top_") == 1)) | ((F.col("any_") == 0) & (F.col("r_") <= 8)))
-    df = df.where(text.is_dealer_candidate(F.col("text")))
-    pick = F.max(F.struct(F.length("text").alias("n"), (-F.col("bbox")[1]).alias("y"), (-F.col("block_idx")).alias("i"), "text", "confidence")).alias("b")
-    best = df.groupBy("doc_id").agg(pick).select("doc_id", text.normalise_dealer_name(F.col("b.text"), compose).alias("dealer"), F.least(F.lit(0.9), 0.5 + F.col("b.confidence") * 0.4).alias("dealer_confidence"))
-    return best.where(F.length("dealer") >= 3)
+    """(doc_id, dealer, dealer_confidence) of the documents that have one."""
+    return _field(pages_of(blocks, compose), "dealer", _dealer(F.col("b"), F.col("h")))
 
 
 def model_names(blocks: DataFrame, compose: bool = True) -> DataFrame:
-    """(doc_id, model, model_confidence): a labelled name (.85), else the first short line with a brand (.75)."""
-    found = []
-    for pattern in MODEL_LABELS:
-        raw = text.strip(F.regexp_extract("full_text", f"(?iU){pattern}(.{{3,60}})", 1))
-        raw = text.strip(F.get(F.split(raw, r"[\n\r]"), F.lit(0)))
-        found.append(F.when(raw != "", raw))
-    labelled = page_texts(blocks).select("doc_id", F.coalesce(*found).alias("raw")).where("raw is not null")
-    labelled = labelled.select("doc_id", text.clean_text(F.col("raw"), compose).alias("labelled"))
-    lines = line_texts(blocks).where(text.has_brand(F.col("line_text"))).withColumn("t", text.clean_text(F.col("line_text"), compose))
-    lines = lines.where(F.size(F.filter(F.split("t", " "), lambda w: w != "")) <= 8)
-    branded = lines.groupBy("doc_id").agg(F.min(F.struct("line_no", "t")).alias("b")).select("doc_id", F.col("b.t").alias("branded"))
-    both = labelled.join(branded, "doc_id", "full_outer")
-    return both.select("doc_id", F.coalesce("labelled", "branded").alias("model"), F.when(F.col("labelled").isNotNull(), 0.85).otherwise(0.75).alias("model_confidence"))
+    """(doc_id, model, model_confidence) of the documents that have one."""
+    pages = pages_of(blocks, compose).withColumn("l", _lines(F.col("b")))
+    return _field(pages, "model", _model(F.col("b"), F.col("l")))
 
 
 def asset_costs(blocks: DataFrame, compose: bool = True) -> DataFrame:
-    """(doc_id, cost, cost_confidence): a row of totals (.90), the bottom half (.70), anywhere (.55)."""
-    lines = line_texts(blocks).where(text.is_total_row(F.col("line_text")))
-    first = lambda c: F.get(F.filter(amounts.extract_all_amounts(F.col(c), compose), amounts.plausible), F.lit(0))
-    totals = lines.withColumn("v", first("line_text")).where("v is not null")
-    totals = totals.groupBy("doc_id").agg(F.min(F.struct("line_no", "v")).alias("b")).select("doc_id", F.col("b.v").alias("v1"))
-    low = blocks.where(F.col("bbox")[1] >= F.when(F.col("image_h") > 0, F.col("image_h")).otherwise(9999) * 0.5)
-    half = page_texts(low).select("doc_id", amounts.largest_plausible(amounts.extract_all_amounts(F.col("full_text"), compose)).alias("v2"))
-    whole = page_texts(blocks).select("doc_id", amounts.largest_plausible(amounts.extract_all_amounts(F.col("full_text"), compose)).alias("v3"))
-    df = whole.join(half, "doc_id", "left").join(totals, "doc_id", "left")
-    conf = F.when(F.col("v1").isNotNull(), 0.90).when(F.col("v2").isNotNull(), 0.70).when(F.col("v3").isNotNull(), 0.55)
-    return df.select("doc_id", F.coalesce("v1", "v2", "v3").alias("cost"), conf.alias("cost_confidence")).where("cost is not null")
+    """(doc_id, cost, cost_confidence) of the documents that have one."""
+    pages = pages_of(blocks, compose).withColumn("l", _lines(F.col("b")))
+    return _field(pages, "cost", _cost(F.col("b"), F.col("l"), F.col("h")))
 
 
 def parse_fields(blocks: DataFrame, compose: bool = True) -> DataFrame:
     """One row per document with the four fields and their confidences; nothing found is null and 0."""
-    df = blocks.select("doc_id").distinct()
-    for part in (dealer_names(blocks, compose), model_names(blocks, compose), hp_mode(blocks, compose), asset_costs(blocks, compose)):
-        df = df.join(part, "doc_id", "left")
-    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dealer_confidence", "model_confidence", "hp_confidence", "cost_confidence")]
-    return df.select("doc_id", "dealer", "model", "hp", "cost", *zero)
+    b, lines, h = F.col("b"), F.col("l"), F.col("h")
+    pages = pages_of(blocks, compose).withColumn("l", _lines(b))
+    found = pages.select("doc_id", _dealer(b, h).alias("dealer"), _model(b, lines).alias("model"), _hp(b).alias("hp"), _cost(b, lines, h).alias("cost"))
+    names = ("dealer", "model", "hp", "cost")
+    return found.select("doc_id", *[F.col(n)["value"].alias(n) for n in names], *[F.coalesce(F.col(n)["confidence"], F.lit(0.0)).alias(f"{n}_confidence") for n in names])
