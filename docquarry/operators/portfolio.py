@@ -26,6 +26,11 @@ def run_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def label_summary(df: DataFrame) -> DataFrame:
+    """How many labelled documents succeeded and failed (``error`` is null or not)."""
+    return df.agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
 def kpis(df: DataFrame) -> DataFrame:
     """One pass: totals skip nulls, flag rates are over known flags, full compliance is over all rows."""
     sig, stamp = F.col("signature_present"), F.col("stamp_present")

@@ -19,30 +19,9 @@ from ..operators import consensus, matching, portfolio, records, strokes
 from ..sources import tables
 from ..streaming import ingest
 from . import document_pipeline
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _df(spark: SparkSession, sf: str, table: str, select: str) -> DataFrame:
-    # braces of JSON literals rule out query arguments; the view is resolved here and now
-    _table(spark, sf, table).createOrReplaceTempView(f"docquarry_{table}")
-    return spark.sql(f"select {select} from docquarry_{table}")
-
+from .registry import QUERIES, SQL, query
+from .registry import derived as _df
+from .registry import table as _table
 
 # Derived inputs, the same text in both engines.
 PORTFOLIO = """cast(o_orderkey as varchar(20)) as doc_id, o_orderkey as pos,
@@ -282,15 +261,27 @@ def document_lines(spark, sf):
     return df.select("doc_id", F.size(text.split_lines(t)).alias("n_lines"), F.round(text.non_ascii_share(t), 9).alias("foreign_share"), text.script_hint(t).alias("script"), text.contains_idfc(t).alias("idfc"))
 
 
-@query()
+@query(
+    r"""with t as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '(?s).') as c from documents),
+  u as (select rid, unnest(c) as c, generate_subscripts(c, 1) as i from t), n as (select *, (c is distinct from lag(c) over w)::int as new_ from u window w as (partition by rid order by i)),
+  g as (select *, sum(new_) over (partition by rid order by i rows unbounded preceding) as run from n), s as (select *, count(*) over (partition by rid, run) as size from g),
+  k as (select rid, i, c, regexp_matches(c, '[\p{L}\p{N}_]') as word, regexp_matches(c, '[A-Za-z0-9ऀ-ॿ઀-૿]') as known from s where size < 5 or c in (chr(10), chr(13), chr(133), chr(8232), chr(8233))),
+  m as (select rid, i, case when known or coalesce(lag(word) over w, false) or coalesce(lead(word) over w, false) then c else ' ' end as c from k window w as (partition by rid order by i)),
+  j as (select rid, string_agg(c, '' order by i) as t from m group by 1)
+  select doc_id, regexp_replace(regexp_replace(coalesce(j.t, ''), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') as clean from t left join j using (rid)"""
+)
 def noise_removal(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.remove_noise(F.coalesce("text", F.lit(""))).alias("clean"))
 
 
-@query("select doc_id, length(trim(split_part(text, chr(10), 1))) >= 3 and not regexp_matches(trim(split_part(text, chr(10), 1)), '\\b\\d{15}\\b|\\d{10}|\\d{2}[/-]\\d{2}[/-]\\d{2,4}|^\\d+$') as candidate from documents where text is not null".replace("\\\\", "\\"))
+@query(
+    r"""with l as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n\r]+'), lambda x: regexp_replace(x, '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '')) as line from documents)
+  select doc_id, line, length(line) >= 3 and not regexp_matches(line, '\b\d{15}\b|\d{10}|\d{2}[/-]\d{2}[/-]\d{2,4}|^\d+$') as candidate from l"""
+)
 def dealer_candidates(spark, sf):
-    first = F.substring_index("text", "\n", 1)
-    return _table(spark, sf, "documents").where("text is not null").select("doc_id", text.is_dealer_candidate(first).alias("candidate"))
+    """Every line of every text is judged; null texts have none."""
+    lines = _table(spark, sf, "documents").select("doc_id", F.explode(text.split_lines(F.col("text"))).alias("line"))
+    return lines.withColumn("candidate", text.is_dealer_candidate(F.col("line")))
 
 
 # Model responses.
@@ -302,18 +293,21 @@ RESPONSE = """o_orderkey, concat(case when o_orderkey % 5 = 0 then 'Sure: ' when
   ', "stamp_present": "', case o_orderkey % 2 when 0 then 'Yes' else 'no' end, '"}', case when o_orderkey % 5 = 1 then ' ```' else '' end, case when o_orderkey % 7 = 3 then '}' else '' end) as raw"""
 
 
-@query(
+RESPONSE_SQL = (
     f"with r as (select {RESPONSE} from orders), "
     r"""s as (select o_orderkey, trim(regexp_replace(raw, '```(?:json)?\s*|\s*```', '', 'g')) as t from r),
   i as (select o_orderkey, t, regexp_extract(t, '(?s)\{.*\}') as inner_ from s),
   j as (select o_orderkey, case when json_valid(t) then t when json_valid(inner_) then inner_ end as j from i),
   f as (select o_orderkey, j ->> '$.dealer_name' as d, j ->> '$.model_name' as m, j ->> '$.horse_power' as h, j ->> '$.asset_cost' as c, j ->> '$.signature_present' as sg, j ->> '$.stamp_present' as st from j),
-  n as (select *, regexp_replace(h, '[,₹Rs.\s\-/]', '', 'g') as hn, regexp_replace(c, '[,₹Rs.\s\-/]', '', 'g') as cn from f)
-  select o_orderkey, case when lower(d) in ('null', 'none', 'n/a', '') then null else trim(d) end as dealer_name, case when lower(m) in ('null', 'none', 'n/a', '') then null else trim(m) end as model_name,
+  n as (select *, regexp_replace(h, '[,₹Rs.\s\-/]', '', 'g') as hn, regexp_replace(c, '[,₹Rs.\s\-/]', '', 'g') as cn from f) """
+)
+RESPONSE_FIELDS = """case when lower(d) in ('null', 'none', 'n/a', '') then null else trim(d) end as dealer_name, case when lower(m) in ('null', 'none', 'n/a', '') then null else trim(m) end as model_name,
     case when regexp_full_match(hn, '[0-9]+') then hn::int end as horse_power, case when regexp_full_match(cn, '[0-9]+') then cn::bigint end as asset_cost,
     case when lower(trim(sg)) in ('true', 'yes', '1', 'present') then true when lower(trim(sg)) in ('false', 'no', '0', 'absent', 'not present') then false end as signature_present,
-    case when lower(trim(st)) in ('true', 'yes', '1', 'present') then true when lower(trim(st)) in ('false', 'no', '0', 'absent', 'not present') then false end as stamp_present from n"""
-)
+    case when lower(trim(st)) in ('true', 'yes', '1', 'present') then true when lower(trim(st)) in ('false', 'no', '0', 'absent', 'not present') then false end as stamp_present"""
+
+
+@query(RESPONSE_SQL + "select o_orderkey, " + RESPONSE_FIELDS + " from n")
 def coerce_fields(spark, sf):
     df = _df(spark, sf, "orders", RESPONSE).select("o_orderkey", coerce.parse_json(F.col("raw")).alias("v"))
     return df.select("o_orderkey", coerce.coerce_fields(F.col("v")).alias("f")).select("o_orderkey", "f.*")
@@ -324,10 +318,17 @@ def event_props(spark, sf):
     return _table(spark, sf, "events").select("event_id", coerce.coerce_int(coerce.json_field(coerce.parse_json(F.col("props")), "k")).alias("k"))
 
 
-@query()
+@query(
+    RESPONSE_SQL
+    + """select *, ((dealer_name is not null)::int + (model_name is not null)::int + (horse_power is not null)::int + (asset_cost is not null)::int
+  + (signature_present is not null)::int + (stamp_present is not null)::int) as found from (select o_orderkey as doc_id, """
+    + RESPONSE_FIELDS
+    + " from n)"
+)
 def response_cascade(spark, sf):
     df = _df(spark, sf, "orders", RESPONSE).withColumn("primary", F.when(F.col("o_orderkey") % 6 != 0, F.col("raw")).otherwise("[1]")).withColumnRenamed("raw", "fallback")
-    return document_pipeline.vlm_fields(df.withColumnRenamed("o_orderkey", "doc_id")).withColumn("found", F.lit(1))
+    fields = document_pipeline.vlm_fields(df.withColumnRenamed("o_orderkey", "doc_id"))
+    return fields.withColumn("found", coerce.fields_found(F.struct(*coerce.FIELDS)))
 
 
 # Consensus and scoring.
@@ -407,7 +408,14 @@ def score(spark, sf):
     return scored.select("doc_id", F.round("score", 6).alias("score"), "conflicts")
 
 
-@query()
+@query(
+    _S
+    + ", m as (select doc_id, "
+    + ", ".join(f"{_MERGES[kind][k].replace('round(', '(').replace(', 9)', ')')} as {kind}_{k}" if k == "confidence" else f"{_MERGES[kind][k]} as {kind}_{k}" for kind in _MERGES for k in ("value", "confidence"))
+    + """ from s), n as (select *, 2 * (text_value is not null)::int + (hp_value is not null)::int + (cost_value is not null)::int + 2 as filled,
+    case when text_value is null then 0 else text_confidence end::double as t, case when hp_value is null then 0 else hp_confidence end::double as h, case when cost_value is null then 0 else cost_confidence end::double as k from m)
+  select doc_id, round(((t + t + h + k + flag_confidence + flag_confidence) / filled)::varchar::decimal(38, 20), 4)::double as overall from n"""
+)
 def overall_confidence(spark, sf):
     return consensus.build_consensus(*_sources(spark, sf)).select("doc_id", consensus.overall_confidence().alias("overall"))
 
@@ -447,12 +455,27 @@ def iou_pairs(spark, sf):
     return pairs.select("doc_id", F.col("block_idx").alias("i"), "j", F.round(geometry.iou(F.col("bbox"), F.col("other")), 9).alias("iou"))
 
 
-@query()
+def _nms_sql(blocks: str, threshold: float) -> str:
+    """Greedy suppression as a fold over each document's blocks, best first; what stays is numbered by (y1, x1)."""
+    overlap = "(least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1)) * (least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1))"
+    apart = "least(k.x2, x[1].x2) <= greatest(k.x1, x[1].x1) or least(k.y2, x[1].y2) <= greatest(k.y1, x[1].y1)"
+    areas = "(k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1)"
+    return f"""l as (select doc_id, list([struct_pack(c := -confidence, i := block_idx, x1 := x1, y1 := y1, x2 := x2, y2 := y2, t := text)] order by -confidence, block_idx) as l from {blocks} group by 1),
+  r as (select doc_id, list_reduce(l, lambda acc, x: case when len(list_filter(acc, lambda k: not ({apart}) and ({overlap})::double / ({areas} - {overlap}) >= {threshold})) > 0 then acc else list_concat(acc, x) end) as kept from l),
+  k as (select doc_id, unnest(kept) as b from r)
+  select doc_id, (row_number() over (partition by doc_id order by b.y1, b.x1, b.i) - 1)::int as pos, b.i::bigint as block_idx, b.t as text, -b.c as confidence, [b.x1, b.y1, b.x2, b.y2]::int[] as bbox from k"""
+
+
+@query(B.rstrip() + ", " + _nms_sql("b", 0.2))
 def nms_blocks(spark, sf):
     return block_ops.suppress_overlaps(_blocks(spark, sf), 0.2)
 
 
-@query()
+@query(
+    B.rstrip()
+    + """, u as (select doc_id, row_number() over (partition by doc_id order by block_idx % 2 <> 0, block_idx) - 1 as block_idx, text, confidence, x1, y1, x2, y2 from b), """
+    + _nms_sql("u", 0.5)
+)
 def merge_languages(spark, sf):
     b = _blocks(spark, sf).select("doc_id", "block_idx", "text", "confidence", "bbox")
     return block_ops.merge_languages(b.where("block_idx % 2 = 0"), b.where("block_idx % 2 <> 0"))
@@ -493,11 +516,6 @@ def hp_mode(spark, sf):
     return df.select("doc_id", "hp", F.round("hp_confidence", 6).alias("hp_confidence"))
 
 
-@query()
-def parse_fields(spark, sf):
-    return block_ops.parse_fields(_blocks(spark, sf), compose=False)
-
-
 # Matching.
 
 
@@ -567,15 +585,41 @@ def stroke_filter(spark, sf):
     return strokes.filter_strokes(_strokes(spark, sf)).select("doc_id", "stroke_idx")
 
 
-@query()
+STROKE_OK = "area between 80 and 120000 and not (w < 8 and h < 8) and not (h <= 6 and w > 80) and not (w <= 4 and h > 60) and w::double / greatest(h, 1) between 0.15 and 20 and sqrt(w * w + h * h) >= 15 and not (area / greatest(w * h, 1) > 0.95 and area > 2000)"
+
+
+def star_sql(strokes: str, keys: str, gap: str) -> str:
+    """Clusters as a fold over each page's strokes: d has (keys, i, seed)."""
+    near = f"list_filter(acc, lambda d: d.seed = d.i and sqrt((d.cx - x[1].cx) ** 2 + (d.cy - x[1].cy) ** 2) <= {gap})"
+    return f"""l as (select {keys}, list([struct_pack(i := stroke_idx, cx := cx::double, cy := cy::double, seed := stroke_idx)] order by stroke_idx, cx, cy) as l from {strokes} group by all),
+  c as (select {keys}, unnest(list_reduce(l, lambda acc, x: list_concat(acc, [struct_pack(i := x[1].i, cx := x[1].cx, cy := x[1].cy, seed := coalesce({near}[1].i, x[1].i))]))) as d from l)"""
+
+
+def best_sql(strokes: str, keys: str, pad: int = 14) -> str:
+    """The best cluster of each page, from ``star_sql``."""
+    using = ", ".join(keys.split(", "))
+    return f"""a as (select {", ".join("c." + k for k in keys.split(", "))}, c.d.seed as cluster, count(*) as n, sum(area) as area, min(x) as x1, min(y) as y1, max(x + w) as x2, max(y + h) as y2
+    from c join {strokes} s on s.stroke_idx = c.d.i and {" and ".join(f"s.{k} = c.{k}" for k in keys.split(", "))} group by all having count(*) >= 2 and sum(area) >= 160),
+  z as (select *, (case when (x2 - x1)::double / greatest(y2 - y1, 1) between 1 and 8 then 1.0 else 0.5 end)::double * least(n / 10, 1) * ln(area + 1) as score from a),
+  best as (select * from (select *, row_number() over (partition by {using} order by score desc, cluster) as r from z) where r = 1)"""
+
+
+STROKE_ROWS = f"with s as (select *, floor(x + w / 2)::bigint as cx, floor(y + h / 2)::bigint as cy from (select {STROKES} from lineitem) where {STROKE_OK}), "
+
+
+@query(STROKE_ROWS + star_sql("s", "doc_id", "60") + " select doc_id, d.i as stroke_idx, d.seed as cluster from c")
 def star_clusters(spark, sf):
     return strokes.star_clusters(strokes.filter_strokes(_strokes(spark, sf)), 60)
 
 
-@query()
+@query(
+    STROKE_ROWS + star_sql("s", "doc_id", "80") + ", " + best_sql("s", "doc_id")
+    + " select doc_id, cluster::bigint as cluster, round(score, 6) as score, n as n_strokes, [greatest(x1 - 14, 0), greatest(y1 - 14, 0), x2 + 14, y2 + 14]::bigint[] as bbox from best"
+)
 def signature_clusters(spark, sf):
     s = strokes.filter_strokes(_strokes(spark, sf))
-    return strokes.best_cluster(s, strokes.star_clusters(s))
+    best = strokes.best_cluster(s, strokes.star_clusters(s))
+    return best.withColumn("score", F.round("score", 6)).withColumn("bbox", F.col("bbox").cast("array<bigint>"))
 
 
 def _hits(spark, sf):
@@ -630,8 +674,12 @@ def document_records(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import page_queries, source_queries  # noqa: F401  they register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import page_queries, source_queries  # noqa: F401
+
     return dict(SQL)

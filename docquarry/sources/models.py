@@ -24,9 +24,10 @@ def once(name: str, load: Callable[[], object]) -> object:
 
 def normalise_raw(raw: DataFrame) -> DataFrame:
     """Rows (doc_id, block_idx, text or rec_text, confidence as text, polygon or 4 numbers) to blocks: empty texts
-    go, unreadable confidences are 0, boxes are drawn around polygons."""
+    go, unreadable confidences are 0, boxes are drawn around polygons, and blocks with neither go."""
     points = F.col("polygon")
-    box = F.when(F.size("box") == 4, F.col("box")).otherwise(
+    box = F.when(F.size("box") == 4, F.col("box")).when(
+        F.size(points) > 0,
         F.array(
             F.array_min(F.transform(points, lambda p: p[0])), F.array_min(F.transform(points, lambda p: p[1])),
             F.array_max(F.transform(points, lambda p: p[0])), F.array_max(F.transform(points, lambda p: p[1])),

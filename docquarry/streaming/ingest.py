@@ -12,11 +12,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.text import doc_id_from_path
 from ..sources.documents import BATCH_SUFFIXES, suffix
 
+FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 RESPONSES = "doc_id STRING, raw STRING, arrived TIMESTAMP"
 
 
 def stream_files(spark: SparkSession, path: str, suffixes: list[str] | None = None, per_trigger: int = 100) -> DataFrame:
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_trigger).load(path)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_trigger).load(path)
     return files.where(suffix(F.col("path")).isin(suffixes or BATCH_SUFFIXES)).withColumn("doc_id", doc_id_from_path(F.col("path")))
 
 

@@ -135,3 +135,16 @@ def test_token_scorers():
     assert fuzzy.token_set_ratio("swaraj", "swaraj 742 xt") == 100
     assert fuzzy.partial_ratio("742", "swaraj 742 xt") == 100
     assert fuzzy.ratio("", "") == 0
+
+
+def test_published_scores():
+    """Values that the scorers' public documentation gives for these pairs."""
+    from docquarry.functions import fuzzy
+
+    assert fuzzy.ratio("this is a test", "this is a test!") == pytest.approx(96.55172413793103)
+    assert fuzzy.partial_ratio("this is a test", "this is a test!") == 100
+    assert fuzzy.ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == pytest.approx(90.9090909090909)
+    assert fuzzy.token_sort_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 100
+    assert fuzzy.token_sort_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == pytest.approx(84.21052631578947)
+    assert fuzzy.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
+    assert fuzzy.weighted_ratio("this is a test", "this is a new test!!!") == pytest.approx(85.5)

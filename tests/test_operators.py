@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import blocks, consensus, images, matching, portfolio, records, strokes
+from docquarry.operators import blocks, consensus, images, matching, portfolio, records, signatures, strokes
 from docquarry.sources import documents, models, tables
 from docquarry.streaming import ingest
 
@@ -227,3 +227,103 @@ def test_streaming(spark, tmp_path):
     assert query.awaitTermination(120)
     got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out" / "batch=*"))
     assert sorted((r["doc_id"], r["horse_power"]) for r in got.collect()) == [("a", 45), ("b", 45)]
+
+
+def test_master_in_chunks_and_names_in_slices(spark):
+    master = spark.createDataFrame([(k, f"name {k:02d}") for k in range(25)] + [(25, "name 03")], "pos long, name string")
+    names = spark.createDataFrame([(f"name {k:02d}",) for k in range(25)] + [(None,)], "name string")
+    got = {r["name"]: (r["matched"], r["score"]) for r in matching.match_names(names, master, "model", chunk=7, slice_=4).collect()}
+    assert got == {f"name {k:02d}": (f"name {k:02d}", 100.0) for k in range(25)} | {None: (None, 0.0)}
+
+
+def test_circles():
+    y, x = np.mgrid[:200, :240]
+    ring = np.abs(np.hypot(y - 90, x - 130) - 50) < 3
+    cx, cy, r = images.circle(ring)
+    assert abs(cx - 130) <= 2 and abs(cy - 90) <= 2 and 45 <= r <= 56
+    square = np.zeros((200, 240), dtype=bool)
+    square[40:150, 50:160] = True
+    assert images.circle(square) is None and images.circle(np.zeros((50, 50), dtype=bool)) is None
+
+
+def test_outlines_and_corners():
+    y, x = np.mgrid[:120, :120]
+    masks = {"square": ((x > 20) & (x < 100) & (y > 30) & (y < 90), 4), "triangle": ((y > 20) & (y < 100) & (x > 20) & (x - 20 < y - 20), 3), "disc": (np.hypot(x - 60, y - 60) < 40, 8)}
+    for mask, n in masks.values():
+        (runs,) = images.regions(mask)
+        walk = images.outline(runs)
+        steps = np.abs(np.diff(np.vstack([walk, walk[:1]]), axis=0))
+        assert steps.max() == 1 and mask[walk[:, 1], walk[:, 0]].all() and images.corners(walk) == n
+    dot = np.zeros((4, 4), dtype=bool)
+    dot[2, 1] = True
+    assert images.outline(images.regions(dot)[0]).tolist() == [[1, 2]]
+
+
+def scribble(image, top, left):
+    rows = np.arange(top, top + 60)
+    for k in range(4):
+        for d in range(3):
+            image[rows, (left + 40 * k + d + 15 * np.sin(rows / 6)).astype(int)] = 0
+
+
+def test_signatures_from_page_to_verdict(spark):
+    """A signature above the words that announce it is found there; one at the bottom by place; none on a blank page."""
+    announced, low = page(600, 400), page(600, 400)
+    scribble(announced, 100, 60)
+    scribble(low, 500, 60)
+    shots = {"announced": announced, "low": low, "blank": page(600, 400)}
+    rows = [(n, (h.shape[0], h.shape[1], 3, bytearray(h.tobytes()))) for n, h in shots.items()]
+    shot = spark.createDataFrame(rows, "doc_id string, image struct<height:int,width:int,nChannels:int,data:binary>")
+    pages = shot.select("doc_id", F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    words = spark.createDataFrame([("announced", 0, "Authorised Signatory", [60, 180, 220, 200]), ("blank", 0, "Manager", [60, 180, 220, 200])], "doc_id string, block_idx long, text string, bbox array<int>")
+    ink = images.page_zone_strokes(shot, signatures.zones(pages, words))
+    got = {r["doc_id"]: r for r in signatures.detect(pages, ink).collect()}
+    assert (got["announced"]["method"], got["announced"]["confidence"]) == ("anchor", 0.87)
+    assert (got["low"]["method"], got["blank"]["method"]) == ("bottom_scan", "none")
+    x1, y1, x2, y2 = got["announced"]["bbox"]
+    assert x1 <= 50 and 80 <= y1 <= 100 and x2 >= 160 and 160 <= y2 <= 180
+    curved = images.zone_strokes(images.gray(low), "curvature", [0, 330, 400, 600])
+    assert len(curved) == 4 and all(y >= 480 for _, _, y, *_ in curved)
+
+
+def test_colour_survives_clean_pages():
+    image = np.random.default_rng(0).integers(0, 256, (40, 50, 3)).astype(np.uint8)
+    assert np.abs(images.from_lab(images.lab(image)).astype(int) - image).max() <= 1
+    assert images.lab(np.array([[[255, 255, 255], [0, 0, 0]]], dtype=np.uint8))[0, :, 0] == pytest.approx([100, 0], abs=0.01)
+    colour, gray, binary, angle, lean = images.clean(page(60, 90), denoised=False)
+    assert colour.shape[:2] == gray.shape == binary.shape and min(gray.shape) == 800 and set(np.unique(binary)) <= {0, 255} and (angle, lean) == (0, 0.0)
+
+
+def test_pdf_pages(spark):
+    files = spark.createDataFrame([("a", bytearray(b"12"))], "doc_id string, content binary")
+
+    def render(content, dpi, first, last):
+        return [(1, 1, 1, bytes([k])) for k in range(first, min(last, len(content)) + 1)]
+
+    got = models.pdf_pages(files, render, first=2, last=5).collect()
+    assert [(r["doc_id"], r["page_no"], bytes(r["image"]["data"])) for r in got] == [("a", 2, b"\x02")]
+
+
+def test_settings(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("a:\n  b: 3\n")
+    (tmp_path / "b.yaml").write_text("a: [")
+    found = tables.settings(str(tmp_path / "a.yaml"))
+    assert tables.setting(found, "a", "b") == 3 and tables.setting(found, "a", "c", default=5) == 5 and tables.setting(found, "a", "b", "c") is None
+    assert tables.settings(str(tmp_path / "b.yaml")) == {} == tables.settings(str(tmp_path / "none.yaml"))
+
+
+def test_stream_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.PDF", "b.png", "c.txt"):
+        (tmp_path / "in" / name).write_bytes(b"x")
+    stream = ingest.stream_files(spark, str(tmp_path / "in")).select("doc_id", "length")
+    assert ingest.run_stream(stream, lambda batch: batch, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out" / "batch=*"))
+    assert sorted(tuple(r)[:2] for r in got.select("doc_id", "length").collect()) == [("a", 1), ("b", 1)]
+
+
+def test_labels_from_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"doc_id": "a", "image_path": "/x", "sig_bbox": [1, 2, 3, 4], "horse_power": None}, indent=1))
+    (row,) = tables.labels(spark, str(tmp_path)).collect()
+    assert row["doc_id"] == "a" and row["sig_bbox"] == [1, 2, 3, 4] and row["horse_power"] is None and "image_path" not in row.asDict()
