@@ -41,6 +41,14 @@ def test_cost_prefers_rows_of_totals(spark):
     assert got == {"d": (700000, 0.9), "e": (800000, 0.55)}
 
 
+def test_models_by_label_go_before_brands(spark):
+    df = make_blocks(spark, [("d", 0, "Mahindra 575 DI", 1, [0, 0, 50, 5]), ("d", 1, "Model:  Swaraj ७४४ FE", 1, [0, 40, 50, 45]), ("e", 0, "Mahindra 575 DI", 1, [0, 0, 50, 5]), ("f", 0, "none", 1, [0, 0, 5, 5])])
+    got = {r["doc_id"]: (r["model"], r["model_confidence"]) for r in blocks.model_names(df).collect()}
+    assert got == {"d": ("Swaraj 744 FE", 0.85), "e": ("Mahindra 575 DI", 0.75)}
+    whole = {r["doc_id"]: (r["model"], r["hp"], r["cost_confidence"]) for r in blocks.parse_fields(df).collect()}
+    assert whole["d"][0] == "Swaraj 744 FE" and whole["f"] == (None, None, 0.0)
+
+
 def merge(spark, f, a, b, ca, cb, kind):
     df = spark.createDataFrame([(a, b, ca, cb)], f"a {kind}, b {kind}, ca double, cb double")
     r = df.select(f(*(F.col(c) for c in ("a", "b", "ca", "cb"))).alias("m")).first()["m"]
@@ -327,3 +335,21 @@ def test_labels_from_json(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"doc_id": "a", "image_path": "/x", "sig_bbox": [1, 2, 3, 4], "horse_power": None}, indent=1))
     (row,) = tables.labels(spark, str(tmp_path)).collect()
     assert row["doc_id"] == "a" and row["sig_bbox"] == [1, 2, 3, 4] and row["horse_power"] is None and "image_path" not in row.asDict()
+
+
+def test_intermediate_tables(spark):
+    from docquarry import scratch
+
+    class Unset:
+        def __init__(self, master):
+            self.conf, self.sparkContext = {}, type("Context", (), {"master": master})()
+
+    assert scratch.scratch_dir(Unset("local[2]")) == scratch.scratch_dir(Unset("local[4]"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch.scratch_dir(Unset("yarn"))
+    first, mark = scratch.materialise(spark.range(3)), scratch.scratch_mark()
+    second = scratch.materialise(spark.range(4))
+    scratch.release(mark)
+    assert first.count() == 3
+    with pytest.raises(Exception):  # noqa: B017  what a missing file raises is the file system's business
+        second.count()
