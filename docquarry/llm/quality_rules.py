@@ -21,7 +21,7 @@ from .common import SPACE, WORD, free_name, materialise, words
 
 #: Name, condition for a good vote, condition for a bad vote.  Integer arithmetic, valid in
 #: Spark SQL and DuckDB alike; the counts are those of ``signals``.
-RULES = [
+RULES = [  # bars: tables and menus flattened to text; shouts: exclamations of advertising
     ("length", "n_words >= 40", "n_words < 10"),
     ("word_size", "word_chars >= 3 * n_words and word_chars <= 9 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     ("symbols", "100 * n_symbols <= n_words", "10 * n_symbols > 3 * n_words"),
