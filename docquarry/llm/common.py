@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,6 @@ def n_words(text: Column) -> Column:
     return F.length(squeezed).cast("long")
 
 
-SPARE = 8  # times as many rows as wanted that may pass a limit
 SCALE = 1 << 52
 
 
@@ -33,15 +34,16 @@ def hash_of(key: Column) -> Column:
 
 
 def smallest_hashes(rows: DataFrame, group: str, key: Column, want: int) -> DataFrame:
-    """About SPARE * ``want`` rows of each group of ``rows``, those with the smallest hashes of ``key``.
+    """A few more than ``want`` rows of each group of ``rows``, those with the smallest hashes of ``key``.
 
-    A group's limit follows from its number of rows, so no task ranks a whole group.  One row for each group goes to
-    the driver: groups must be few, as languages are."""
+    A group's limit follows from its number of rows and is nine standard deviations or more above what is wanted, so
+    no task ranks a whole group.  One row for each group goes to the driver: groups must be few, as languages are."""
     name = F.coalesce(F.concat(F.lit("+"), F.col(group)), F.lit("-"))
     counts = rows.groupBy(name.alias("g")).count().collect()
     if not counts:
         return rows
-    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["g"], max(1, SCALE * min(r["count"], SPARE * want) // r["count"]))])
+    more = want + 10 * math.isqrt(want) + 50
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["g"], max(1, SCALE * min(r["count"], more) // r["count"]))])
     return rows.where(hash_of(key) < F.element_at(limits, name))
 
 
