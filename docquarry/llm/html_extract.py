@@ -56,8 +56,8 @@ CONTAINERS = frozenset("div section ul ol dl table tbody tr td center details fi
 #: Words of class, id or role attributes that mark what is not the article; such words that mark nothing
 #: inside an article or main element; words beside them.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
-    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer topbar toolbar comment comments reply replies disqus "
+    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies cookieconsent consent gdpr notice notices popup modal overlay "
+    "sidebar aside complementary menu nav navbar navigation breadcrumb breadcrumbs masthead footer contentinfo colophon topbar toolbar comment comments commentlist respond reply replies disqus "
     "share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager".split()
 )
 LOOSE_MARKS = frozenset("alert copyright discussion header legal toc".split())
@@ -79,18 +79,23 @@ def _marks(element: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is marked as something else than the article, and whether as the article."""
     named: list[str] = []
     words: set[str] = set()
-    hidden = False
+    hidden = other = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.lower().strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
             hidden = True
-        elif name in ("class", "role") or (name == "id" and element != "section"):  # ids of sections come from their titles
+        elif name == "style":
+            hidden |= "display:none" in value.replace(" ", "")
+        elif name == "id" and element == "section":  # it may come from the section's title
+            other |= any(_boilerplate(token, MARKS) for token in value.split())
+        elif name in ("class", "role", "id"):
             named += value.split()
         if name in ("class", "id", "role", "itemprop"):
             words.update(re.split(r"[^a-z0-9]+", value))
-    marks = MARKS if inside else MARKS | LOOSE_MARKS
-    other = hidden or (element in CONTAINERS and any(_boilerplate(token, marks) for token in named))
-    return other, bool(words & ARTICLE_MARKS) and element in HOLDERS
+    if element in CONTAINERS:
+        marks = MARKS if inside else MARKS | LOOSE_MARKS
+        other |= any(_boilerplate(token, marks) for token in named)
+    return hidden or other, bool(words & ARTICLE_MARKS) and element in HOLDERS
 
 
 class Line(NamedTuple):

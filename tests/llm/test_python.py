@@ -324,6 +324,7 @@ def test_density_finds_the_article(page, text):
         (f"<article><p>{LONG}</p><script>var x=1;", LONG),
         (f"<article><p>{LONG}</p><!-- x", LONG),
         (f"<p title='a > b'>{LONG}</p>", LONG),
+        (f"<article><p>{LONG}</p><section id='comments'><p>{LONG} me</p></section><div role='complementary'>{LONG}</div><p style='display: none'>x</p><section id='discussion'>y</section></article>", f"{LONG}\ny"),
         (f"<p>{LONG} 1 < 2 and 3 > 2</p>", f"{LONG} 1 < 2 and 3 > 2"),
         (f"<article><div><div><p>{LONG}</div></div></div></div><p>x</article><p>out", f"{LONG}\nx"),
     ],
