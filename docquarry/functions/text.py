@@ -31,11 +31,16 @@ BRANDS = [
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; ASCII passes through."""
+def _composed(text: pd.Series) -> pd.Series:
     import unicodedata
 
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition.  ASCII is composed already: the function gets a null in its place, so such texts never
+    leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -6,6 +6,8 @@ plan, so that a plan computes only the variants that it selects.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -588,3 +590,86 @@ def page_measures(images: DataFrame) -> DataFrame:
 
     cols = images.select("doc_id", "image.height", "image.width", "image.nChannels", "image.data")
     return cols.mapInPandas(run, "doc_id string, gray_sum long, threshold int, density double, turned int")
+
+
+def crop(image: np.ndarray, box: list[int]) -> np.ndarray:
+    """The part of a page in a box, clipped to the page."""
+    x1, y1, x2, y2 = box
+    return image[max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)]
+
+
+def draw_box(image: np.ndarray, box: list[int], colour: tuple[int, int, int] = (0, 200, 0), thickness: int = 2) -> np.ndarray:
+    """A copy of a page (BGR) with the outline of a box, corners included; labels are not drawn."""
+    out = image.copy()
+    x1, y1, x2, y2 = box
+    a, b = -(thickness // 2), (thickness + 1) // 2
+    span = lambda low, high: slice(max(0, low + a), max(0, high + b))
+    for x in (x1, x2):
+        out[span(y1, y2), span(x, x)] = colour
+    for y in (y1, y2):
+        out[span(y, y), span(x1, x2)] = colour
+    return out
+
+
+def png(image: np.ndarray) -> bytes:
+    """A page (BGR or gray) as a PNG file."""
+    rows = image[..., ::-1] if image.ndim == 3 else image
+    height, width = image.shape[:2]
+    raw = np.hstack([np.zeros((height, 1), dtype=np.uint8), rows.reshape(height, -1)]).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def drawn_pages(images: DataFrame, boxes: DataFrame, thickness: int = 2) -> DataFrame:
+    """(doc_id, png, part): each page with the outlines of its boxes (doc_id, bbox), and what the first box holds, as PNG
+    files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                page = decode(bytes(r.data), r.height, r.width, r.nChannels)
+                drawn = page
+                for box in r.boxes:
+                    drawn = draw_box(drawn, [int(v) for v in box], thickness=thickness)
+                rows.append((r.doc_id, png(drawn), png(crop(page, [int(v) for v in r.boxes[0]]))))
+            yield pd.DataFrame(rows, columns=["doc_id", "png", "part"])
+
+    lists = boxes.groupBy("doc_id").agg(F.sort_array(F.collect_list("bbox")).alias("boxes"))
+    cols = images.join(lists, "doc_id").select("doc_id", "image.height", "image.width", "image.nChannels", "image.data", "boxes")
+    return cols.mapInPandas(run, "doc_id string, png binary, part binary")
+
+
+def from_png(data: bytes) -> np.ndarray:
+    """The pixels (BGR or gray) of a file that ``png`` wrote."""
+    width, height, _, kind = struct.unpack(">IIBB", data[16:26])
+    size = struct.unpack(">I", data[33:37])[0]
+    rows = np.frombuffer(zlib.decompress(data[41 : 41 + size]), dtype=np.uint8).reshape(height, -1)[:, 1:]
+    return rows.reshape(height, width, 3)[..., ::-1] if kind == 2 else rows
+
+
+def png_sums(drawn: DataFrame) -> DataFrame:
+    """(doc_id, drawn, part): sums of the pixels of ``drawn_pages``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums = {c: [int(from_png(bytes(x)).sum(dtype=np.int64)) for x in batch[n]] for c, n in (("drawn", "png"), ("part", "part"))}
+            yield pd.DataFrame({"doc_id": batch["doc_id"], **sums})
+
+    return drawn.mapInPandas(run, "doc_id string, drawn long, part long")
+
+
+def write_debug_pages(images: DataFrame, path: str, denoised: bool = True) -> None:
+    """The variants of each cleaned page as PNG files in a table: doc_id, colour, gray, binary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                variants = clean(decode(bytes(r.data), r.height, r.width, r.nChannels), denoised)[:3]
+                rows.append((r.doc_id, *map(png, variants)))
+            yield pd.DataFrame(rows, columns=["doc_id", "colour", "gray", "binary"])
+
+    cols = images.select("doc_id", "image.height", "image.width", "image.nChannels", "image.data")
+    cols.mapInPandas(run, "doc_id string, colour binary, gray binary, binary binary").write.mode("overwrite").parquet(path)

@@ -660,17 +660,17 @@ def windowed_events(spark, sf):
 
 @query()
 def document_records(spark, sf):
-    """Responses, blocks and detections to validated records: the whole path after the models."""
+    """Responses, blocks and ink to validated records: the whole path after the models."""
+    from . import page_queries
+
     orders = _table(spark, sf, "orders").select("o_orderkey")
     vlm = document_pipeline.vlm_fields(_df(spark, sf, "orders", RESPONSE + ", cast(o_orderkey as varchar(20)) as doc_id").withColumnRenamed("raw", "primary"))
     ocr = document_pipeline.ocr_fields(_blocks(spark, sf), document_pipeline.Config(compose=False))
-    names = F.array(*[F.lit(m) for m, _ in strokes.SIGNATURE_ORDER])
-    hits = _hits(spark, sf).withColumn("method", F.try_element_at(names, F.col("k").cast("int")))
     docs = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"))
-    signature = strokes.first_success(hits, docs)
+    hits = _hits(spark, sf)
     stamp = strokes.vote(hits.withColumn("region", F.lit("likely")).withColumn("method", F.lit("dark_blob")).withColumn("confidence", F.lit(0.82)), docs)
     dealers, models = tables.masters(spark)
-    return document_pipeline.build_records(ocr, vlm, document_pipeline.detections(signature, stamp), dealers, models)
+    return document_pipeline.build_records(ocr, vlm, document_pipeline.detections(page_queries.signature_detection(spark, sf), stamp), dealers, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

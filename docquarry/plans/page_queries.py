@@ -293,3 +293,86 @@ def page_sizes(spark, sf):
     df = derived(spark, sf, "orders", "o_orderkey, cast(o_orderkey * 7919 % 4000 + 100 as int) as w, cast(o_orderkey * 104729 % 3500 + 100 as int) as h")
     df = df.select("o_orderkey", geometry.working_size(F.col("w"), F.col("h")).alias("a"), geometry.model_size(F.col("w"), F.col("h"), 1024).alias("b"))
     return df.select("o_orderkey", F.col("a.w").alias("work_w"), F.col("a.h").alias("work_h"), F.col("b.w").alias("model_w"), F.col("b.h").alias("model_h"))
+
+
+_AT = f"(select unnest(generate_series(0, {SIDE * SIDE - 1})) as i), (select unnest([0, 1, 2]) as c)"
+_BOXED = "p_partkey % 4 as x1, p_partkey % 3 as y1, 6 + p_partkey % 5 as x2, 7 + p_partkey % 4 as y2"
+
+
+@query(
+    f"""with v as (select p_partkey, x1, y1, x2, y2, i % {SIDE} as x, i // {SIDE} as y, c, {_PIXEL} as v from (select p_partkey, {_BOXED} from part), {_AT}),
+  d as (select *, x between x1 and x2 and y between y1 and y2 and (x in (x1, x2) or y in (y1, y2)) as line from v)
+  select p_partkey::varchar as doc_id, sum(case when line then case when c = 1 then 200 else 0 end else v end)::bigint as drawn, coalesce(sum(v) filter (x >= x1 and x < x2 and y >= y1 and y < y2), 0)::bigint as part from d group by 1"""
+)
+def drawn_pages(spark, sf):
+    """Pages with the outline of a box, and its content, through PNG files; the sums of their pixels."""
+    shots = page_images(spark, sf)
+    boxes = derived(spark, sf, "part", "cast(p_partkey as varchar(20)) as doc_id, " + _BOXED)
+    boxes = boxes.select("doc_id", F.array(*[F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"))
+    return images.png_sums(images.drawn_pages(shots, boxes, thickness=1))
+
+
+@query(
+    "select cast(o_orderkey as varchar) as doc_id, 'page ' || o_orderkey::varchar || '.PDF' as name, case when o_orderkey % 3 = 0 then null else 'Model ' || (o_orderkey % 7)::varchar end as model_name, "
+    "'false' as signed, 5 as keys from orders"
+)
+def downloads(spark, sf):
+    """Records as JSON text under the name of the file that they came from."""
+    df = derived(spark, sf, "orders", "cast(o_orderkey as varchar(20)) as doc_id, o_orderkey as k")
+    none = F.lit(None)
+    model = F.when(F.col("k") % 3 != 0, F.concat(F.lit("Model "), (F.col("k") % 7).cast("string")))
+    df = df.select("doc_id", F.concat(F.lit("page "), F.col("doc_id"), F.lit(".PDF")).alias("file"), *records.record(none, model, none, none, none, none, none, none, F.lit(0.5), F.lit(0.0), F.lit(0.0)))
+    df = df.select("doc_id", records.as_download(F.col("file")).alias("json"))
+    get = lambda path: F.get_json_object("json", path)
+    return df.select("doc_id", get("$.doc_id").alias("name"), get("$.fields.model_name").alias("model_name"), get("$.fields.signature.present").alias("signed"), F.size(F.json_object_keys("json")).alias("keys"))
+
+
+# Engines: functions that stand in for text recognition, a vision-language model and a PDF renderer.
+
+
+def _reader():
+    def engine(data, height, width, channels):
+        total = sum(data)
+        if total % 5 == 0:
+            raise ValueError("unreadable")
+        return [(f"sum {total}", 0.9, [0, 0, width, height]), ("faint", 0.1, [0, 0, 1, 1])]
+
+    return engine
+
+
+def _model():
+    def answer(data, height, width, channels, prompt):
+        if data[0] % 4 == 0:
+            raise ValueError("no answer")
+        return '{"horse_power": %d}' % data[0]
+
+    return answer
+
+
+def _render(content, dpi, first, last):
+    return [(1, 1, 1, content[k : k + 1]) for k in range(first - 1, min(last, len(content)))]
+
+
+_SUMS = f"with s as (select p_partkey, sum({_PIXEL}) as total, min({_PIXEL.replace('(i // 12) * (i // 12) * 11 + (i % 12) * (p_partkey % 7) * 5 + c * 83', '0')}) as first_ from part, {_AT} group by 1)"
+
+
+@query(_SUMS + " select p_partkey::varchar as doc_id, 0::bigint as block_idx, 'sum ' || total::varchar as text, 0.9::double as confidence from s where total % 5 <> 0")
+def recognised_pages(spark, sf):
+    """Blocks of every page: pages that fail have none, faint ones go."""
+    return models.recognise(page_images(spark, sf), _reader, "sums").select("doc_id", "block_idx", "text", "confidence")
+
+
+@query(_SUMS + " select p_partkey::varchar as doc_id, case when first_ % 4 <> 0 then first_::int end as horse_power, case when first_ % 4 = 0 then 'no answer' end as error from s")
+def model_answers(spark, sf):
+    """Answers and errors of every page, parsed."""
+    raw = models.ask(page_images(spark, sf), _model, "read", "first pixel")
+    hp = coerce.coerce_int(coerce.json_field(coerce.parse_json(F.col("raw")), "horse_power")).cast("int")
+    return raw.select("doc_id", hp.alias("horse_power"), "error")
+
+
+@query("select s_suppkey::varchar as doc_id, p.page::int as page_no, s_name[p.page] as text from supplier, (select unnest([2, 3, 4]) as page) p where length(s_name) >= p.page")
+def rendered_pages(spark, sf):
+    """Pages 2 to 4 of files; a page here is one byte."""
+    files = derived(spark, sf, "supplier", "cast(s_suppkey as varchar(20)) as doc_id, cast(s_name as binary) as content")
+    pages = models.pdf_pages(files, _render, first=2, last=4)
+    return pages.select("doc_id", "page_no", F.col("image.data").cast("string").alias("text"))

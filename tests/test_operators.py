@@ -353,3 +353,22 @@ def test_intermediate_tables(spark):
     assert first.count() == 3
     with pytest.raises(Exception):  # noqa: B017  what a missing file raises is the file system's business
         second.count()
+
+
+def test_png_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for shape in ((5, 7, 3), (4, 9)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (images.from_png(images.png(image)) == image).all()
+    box = images.draw_box(page(20, 30), [5, 4, 12, 10])
+    assert (box[4, 5] == (0, 200, 0)).all() and (box[7, 8] == 255).all() and (box[3, 4] == (0, 200, 0)).all() and (box[12, 14] == 255).all()
+    assert images.crop(page(20, 30), [-3, 2, 10, 50]).shape == (18, 10, 3)
+    shot = spark.createDataFrame([("a", (30, 40, 3, bytearray(page(30, 40).tobytes())))], "doc_id string, image struct<height:int,width:int,nChannels:int,data:binary>")
+    images.write_debug_pages(shot, str(tmp_path / "debug"), denoised=False)
+    (row,) = spark.read.parquet(str(tmp_path / "debug")).collect()
+    assert images.from_png(bytes(row["colour"])).shape[2] == 3 and set(np.unique(images.from_png(bytes(row["binary"])))) <= {0, 255}
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.png").write_bytes(images.png(box))
+    good, _ = documents.load_images(spark, str(tmp_path / "files"))
+    (read,) = good.collect()
+    assert (images.decode(bytes(read["image"]["data"]), 20, 30, 3) == box).all()
