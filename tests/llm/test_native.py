@@ -207,3 +207,12 @@ def test_conversations_too_long_to_parse_keep_their_turns(spark):
     assert got == {0: ("messages", 2, 20_500_000 + 1 + 41, [20_500_000, 1]), 1: ("messages", 2, 2 + 3 + 41, [2, 3])}
     alone = chat.canonical(chat.from_rows(rows).drop("messages"))
     assert {r["conv_id"]: r["layout"] for r in alone.select("conv_id", "layout").collect()} == {0: "too_long", 1: "messages"}
+
+
+def test_quality_verdicts_have_settled(spark, monkeypatch):
+    """Twice as many rounds of EM keep and drop the same documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    once = {r["doc_id"]: r["kept"] for r in quality_rules.score(docs).select("doc_id", "kept").collect()}
+    monkeypatch.setattr(quality_rules, "ROUNDS", 2 * quality_rules.ROUNDS)
+    twice = {r["doc_id"]: r["kept"] for r in quality_rules.score(docs).select("doc_id", "kept").collect()}
+    assert once == twice
