@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import coerce, geometry, text
+from ..functions import amounts, coerce, geometry, text
 from ..operators import blocks as block_ops
 from ..operators import images, portfolio, records, signatures
 from ..sources import documents, models
@@ -107,6 +107,21 @@ def box_helpers(spark, sf):
     return df.select("doc_id", "block_idx", *[c.cast("array<int>").alias(n) for n, c in out.items()])
 
 
+POWER_TEXTS = """p_partkey, case p_partkey % 8 when 0 then concat('HP....', cast(p_size as varchar(10))) when 1 then concat('300 HP ', cast(p_size as varchar(10)), ' h.p.') when 2 then concat('Horse Power: ', cast(p_size * 7 as varchar(10)))
+  when 3 then concat('हा. पा. - ', cast(p_size as varchar(10))) when 4 then concat('php ', cast(p_size as varchar(10))) when 5 then concat(cast(p_size as varchar(10)), '-hp, horse  power 60') when 6 then concat('40', cast(p_size as varchar(10)), 'HP') else 'no power' end as said"""
+_POWER_PATTERNS = [r"(\d{1,3})\s*[-–]?\s*[Hh]\.?\s*[Pp]\.?", r"[Hh]\.?\s*[Pp]\.?\s*[-:.\s]*\s*(\d{1,3})", r"हा\.?\s*पा\.?\s*[-:.\s]*\s*(\d{1,3})", r"[Hh]orse\s+[Pp]ower\s*[-:.\s]*\s*(\d{1,3})"]
+
+
+@query(
+    f"with t as (select p_partkey, regexp_replace(said, '\\s+', ' ', 'g') as t from (select {POWER_TEXTS} from part)) select p_partkey, list_filter(["
+    + ", ".join(f"try_cast(nullif(regexp_extract(t, '(?i){x}', 1), '') as int)" for x in _POWER_PATTERNS)
+    + "], lambda v: v between 5 and 200)[1] as hp from t"
+)
+def extract_hp_patterns(spark, sf):
+    """Every pattern of horse power, and which of them goes first."""
+    return derived(spark, sf, "part", POWER_TEXTS).select("p_partkey", amounts.extract_hp(F.col("said"), compose=False).alias("hp"))
+
+
 # Names of files, raw recognition, answers of the labeller.
 
 PATHS = """o_orderkey, concat('/scans/', o_orderstatus, '/page ', cast(o_orderkey as varchar(20)), case o_orderkey % 6 when 0 then '.pdf' when 1 then '.PNG' when 2 then '.v2.Jpeg' when 3 then '.txt' when 4 then '' else '.webp' end) as path"""

@@ -116,3 +116,17 @@ def streamed_events(spark, sf):
     ingest.run_stream(stream, lambda batch: batch.select("ts", "event_type", "value"), path + "/out", path + "/checkpoint").awaitTermination()
     df = ingest.windowed_counts(spark.read.parquet(path + "/out"))
     return df.select(F.col("w.start").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+def _values(names: list[str]) -> str:
+    return "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
+
+
+@query(
+    f"select 'dealer' as kind, unnest({_values(tables.DEALERS)}) as name, generate_subscripts({_values(tables.DEALERS)}, 1) - 1 as pos union all "
+    f"select 'model', unnest({_values(tables.MODELS)}), generate_subscripts({_values(tables.MODELS)}, 1) - 1"
+)
+def built_in_masters(spark, sf):
+    """The lists that stand in where no file is given, or none is found."""
+    dealers, models = tables.masters(spark, f"{scratch_path(spark, 'absent')}.csv")
+    return dealers.withColumn("kind", F.lit("dealer")).unionByName(models.withColumn("kind", F.lit("model")))
