@@ -497,6 +497,31 @@ def test_each_language_has_its_sample_and_quantile(spark):
         assert all(r["threshold"] == pytest.approx(want) for r in got if r["lang"] == lang)
 
 
+def test_every_trusted_document_trains(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, "en", " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for k in range(4200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    labels = docs.where("doc_id < 4100").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    log10 = brute_kneser_ney([t for k, _, t in rows if k < 4100 and fold(k, kneser_ney.HELD_BACK) != 0])
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(docs, labels).collect()}
+    for k, _, t in rows[4000:]:
+        assert got[k] == pytest.approx(10 ** (-log10(t) / (len(t.split()) + 1)), rel=1e-4)
+
+
+def test_buckets_and_turns_leave_perplexities_alone(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    one = kneser_ney.fit(docs.select("text"))
+    want = sorted(kneser_ney.scored(docs, one).collect())
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 30_000)
+    monkeypatch.setattr(kneser_ney, "SLICE_BYTES", 60_000)
+    many = kneser_ney.fit(docs.select("text"))
+    assert many.buckets > 4 and (many.rows, many.total) == (one.rows, one.total)
+    for a, b in zip(want, sorted(kneser_ney.scored(docs, many, 0).collect()), strict=True):
+        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None)
+        assert a[3] is None or a[3] == pytest.approx(b[3], rel=1e-4)
+
+
 # Recurrent scoring
 
 
