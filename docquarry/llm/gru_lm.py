@@ -148,32 +148,6 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(x * np.float32(0.5))
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
-
-
-def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One gated recurrent step: state, reset gate, update gate, candidate, the candidate's recurrent part."""
-    n = HIDDEN
-    hu = h @ w["u"]
-    gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
-    r, z = gates[:, :n], gates[:, n:]
-    a = hu[:, 2 * n :]
-    c = np.tanh(x[:, 2 * n :] + r * a)
-    return (1 - z) * c + z * h, r, z, c, a
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row; ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
-
-
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Log of the sum of exponentials of each row; ``x`` is overwritten."""
     top, total = _exp(x)

@@ -1,11 +1,13 @@
 """Kneser-Ney, language ID, recurrent scoring, n-gram join, HTML extraction and packing."""
 
+import ast
 import math
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -525,6 +527,21 @@ def test_buckets_and_turns_leave_perplexities_alone(spark, data, monkeypatch):
 # Recurrent scoring
 
 
+def test_no_function_of_the_network_is_defined_twice():
+    """A later definition would silently replace an earlier one, as a slower softmax once did."""
+    tree = ast.parse(Path(gru_lm.__file__).read_text())
+    names = Counter(f.name for f in tree.body if isinstance(f, ast.FunctionDef))
+    assert [n for n, k in names.items() if k > 1] == []
+
+
+@pytest.mark.parametrize("shift", [0, 500, -500])
+def test_softmax_keeps_its_range(shift):
+    x = np.random.default_rng(4).standard_normal((50, 9)).astype(np.float32) * 5
+    want = np.exp(x.astype(np.float64))
+    assert gru_lm._softmax(x + np.float32(shift)) == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-4)
+
+
+
 def test_scores_equal_step_by_step():
     rng = np.random.default_rng(0)
     docs = [np.append(rng.integers(0, gru_lm.REST + 1, rng.integers(0, 60)), 0) for _ in range(15)]
