@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise, release, release_but_last, scratch_dir, scratch_mark  # noqa: F401  the operators' one place for them
+from ..scratch import materialise, materialise_by, release, release_at, release_but_last, release_kinds, scratch_dir, scratch_mark  # noqa: F401  the operators' one place for them
 
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_of, materialise, release_but_last, scratch_mark, sieve, sifted, smallest_hashes
+from .common import hash_of, materialise, materialise_by, release_at, release_but_last, release_kinds, scratch_mark, sieve, sifted, smallest_hashes
 from .langid import fold
 from .ngram_join import BASE, Shingler, _mix, _portions
 
@@ -115,7 +115,7 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, a place of each, and sums of ``columns``."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
     return keys[first], order[first], *(np.add.reduceat(x[order], first) if len(first) else x[:0] for x in columns)
@@ -314,8 +314,10 @@ def _forget_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _grouped(rows: DataFrame, key: str, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return materialise(rows.groupBy(key).applyInArrow(run, _ROWS))
+def _grouped(rows: DataFrame, run: Callable[[pa.Table], pa.Table], *kinds: int) -> list[DataFrame]:
+    """The rows that ``run`` makes of each bucket, a table for each kind, so that each can go by itself."""
+    out = rows.groupBy("bucket").applyInArrow(run, _ROWS)
+    return materialise_by(out, "kind", kinds)
 
 
 def fit(texts: DataFrame) -> Model | None:
@@ -326,18 +328,23 @@ def fit(texts: DataFrame) -> Model | None:
         return None
     buckets = -(-(size["b"] or 1) // BUCKET_BYTES)
     turns = min(SLICES, -(-(size["b"] or 1) // SLICE_BYTES))
-    tri = []
+    start = scratch_mark()
+    tri, parts = [], []
     for turn in range(turns):
-        tri.append(_grouped(_trigram_parts(texts, buckets, turn, turns), "bucket", _trigram_bucket(buckets)))
+        done, *more = _grouped(_trigram_parts(texts, buckets, turn, turns), _trigram_bucket(buckets), 0, 1, 2)
+        tri.append(done)
+        parts.extend(more)
         _forget_shuffles(spark)
-    tri = reduce(DataFrame.union, tri)
-    bi = []
+    parts = reduce(DataFrame.union, parts)
+    bi, words = [], []
     for turn in range(turns):
-        bi.append(_grouped(tri.where((F.col("kind") > 0) & (F.col("bucket") % turns == turn)), "bucket", _bigram_bucket(buckets)))
+        done, more = _grouped(parts.where(F.col("bucket") % turns == turn), _bigram_bucket(buckets), 3, 4)
+        bi.append(done)
+        words.append(more)
         _forget_shuffles(spark)
-    bi = reduce(DataFrame.union, bi)
-    uni = _grouped(bi.where("kind = 4"), "bucket", _word_bucket)
-    tables = materialise(tri.where("kind = 0").union(bi.where("kind = 3")).union(uni))
+    (uni,) = _grouped(reduce(DataFrame.union, words), _word_bucket, 5)
+    release_kinds(start, "kind", (1, 2, 4))
+    tables = reduce(DataFrame.union, [*tri, *bi, uni])
     found = tables.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("rows", "total", "c1", "c2", "c3", "c4")]).collect()
     three, two, one = sorted(found, key=lambda r: r["kind"])
     discounts = tuple(_discounts(r) for r in (three, two, one))
@@ -495,6 +502,7 @@ def _scored_by_buckets(rows: DataFrame, model: Model) -> DataFrame:
     for turn in range(turns):
         mark = scratch_mark()
         encoded = _encoded(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(turns)) == turn))
+        _forget_shuffles(spark)  # once more: until another job ran, the JVM holds on to the last one's plan
         answers = _questions(encoded, buckets).groupBy("bucket").cogroup(model.tables.select("kind", "bucket", "data").groupBy("bucket"))
         answers = answers.applyInArrow(_answer, "bucket int, portion long, tri binary, bi binary, uni binary")
         parts.append(materialise(encoded.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(finish, _SCORES)))
@@ -512,10 +520,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mos
     # only texts that the bitmap lets through move
     text, _ = sifted(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), sieve(learnt, "good_id"), "id")
     mark = scratch_mark()
-    text = materialise(text.join(learnt, F.col("id") == F.col("good_id"), "left_semi").select("text"))
-    model = fit(text)
-    if model is not None:
-        release_but_last(mark)
+    model = fit(materialise(text.join(learnt, F.col("id") == F.col("good_id"), "left_semi").select("text")))
+    release_at(mark)
     _forget_shuffles(docs.sparkSession)
     df = materialise(scored(docs, model))
     unseen = good.join(learnt, "good_id", "left_anti")
