@@ -12,7 +12,9 @@ one packed row, so what Spark shuffles are few rows of arrays:
    documents ask the buckets for their distinct n-grams, and the counts come back to the portion.  The results are
    the same.
 
-Both steps go through buckets or documents in up to SLICES turns, so intermediate tables hold one turn's share.
+Both steps go in turns, so that shuffles hold one turn's share: trigrams in up to SLICES turns, bigrams in up to
+PART_TURNS, whose parts are deleted turn by turn, documents in up to SCORE_SLICES, and the buckets that each of these
+asks in up to ASK_TURNS.
 
 The threshold of each language is a quantile of the perplexities of all trusted documents of that language that
 the model has not seen; its rank is exact to one in ACCURACY.
@@ -46,6 +48,9 @@ MODEL_ROWS = 8_000_000
 BUCKET_BYTES = 12 << 20  # of training text for each bucket
 SLICE_BYTES = 32 << 20  # of text in a turn at least
 SLICES = 12
+PART_TURNS = 4
+SCORE_SLICES = 6
+ASK_TURNS = 3
 PORTION = 6 << 20  # bytes of text that ask for their n-grams together
 
 START, END = np.uint64(1), np.uint64(2)
@@ -56,6 +61,9 @@ def _key2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(a * _A + b * _B)
 
 
+STARTS = _key2(np.array([START]), np.array([START]))
+
+
 def _key3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return _mix(_key2(a, b) * _A + c)
 
@@ -108,9 +116,19 @@ def _unpack(how: str, data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted ``keys``, and the end."""
-    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    return np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, sorted.  np.unique would hash them first, which takes many times as long."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]])]
 
 
 def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,6 +141,8 @@ def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 
 # Packed rows: trigrams on their way to a bucket, a bucket's trigrams, parts of bigrams and of contexts, and what
 # is known of bigrams or words: key, count, and as a context: total, what follows once, twice, more often.
+# Kinds of rows: 0 trigrams, 3 bigrams, 4 parts of words, 5 words; parts of bigrams and of contexts have one for each turn.
+BI_TURN, CONTEXT_TURN = 100, 200
 TRI_PART, TRI, BI_PART, CONTEXT_PART, KNOWN = "drrp", "dp", "drp", "dpppp", "dppppp"
 _ROWS = "kind int, bucket int, data binary, rows long, total long, c1 long, c2 long, c3 long, c4 long"
 
@@ -166,7 +186,11 @@ def _trigram_parts(texts: DataFrame, buckets: int, turn: int, turns: int) -> Dat
         shingler = Shingler()
         for _, portion in _portions(batches, 0, PORTION):
             _, a, b, c = _tokens(portion, shingler)
-            keys, at, n = _sums(_key3(a, b, c), np.ones(len(a), dtype=np.uint64))
+            keys = _key3(a, b, c)
+            if turns > 1:
+                own = np.flatnonzero(_bucket(keys, buckets) % np.uint64(turns) == turn)
+                keys, a, b, c = keys[own], a[own], b[own], c[own]
+            keys, at, n = _sums(keys, np.ones(len(a), dtype=np.uint64))
             edges, out = _edges(keys, buckets), []
             for k in range(turn, buckets, turns):
                 here, m = at[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]]
@@ -179,7 +203,7 @@ def _trigram_parts(texts: DataFrame, buckets: int, turn: int, turns: int) -> Dat
     return texts.select("text").mapInArrow(run, "bucket int, data binary")
 
 
-def _trigram_bucket(buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _trigram_bucket(buckets: int, part_turns: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         b, a, c, n = _all(table, TRI_PART)
         keys, at, n = _sums(_key3(a, b, c), n)
@@ -193,10 +217,10 @@ def _trigram_bucket(buckets: int) -> Callable[[pa.Table], pa.Table]:
         for k, (i, j) in enumerate(zip(*_pairs(_edges(bigram, buckets)), strict=True)):
             if i < j:
                 order = np.argsort(x[i:j], kind="stable")
-                out.append(_row(1, k, _pack(BI_PART, x[i:j][order], y[i:j][order], left[i:j][order]), none))
+                out.append(_row(BI_TURN + k % part_turns, k, _pack(BI_PART, x[i:j][order], y[i:j][order], left[i:j][order]), none))
         for k, (i, j) in enumerate(zip(*_pairs(_edges(context, buckets)), strict=True)):
             if i < j:
-                out.append(_row(2, k, _pack(CONTEXT_PART, context[i:j], *(f[i:j] for f in follow)), none))
+                out.append(_row(CONTEXT_TURN + k % part_turns, k, _pack(CONTEXT_PART, context[i:j], *(f[i:j] for f in follow)), none))
         return _arrow(out)
 
     return run
@@ -206,12 +230,12 @@ def _pairs(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1], edges[1:]
 
 
-def _bigram_bucket(buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _bigram_bucket(buckets: int, turn: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        x, y, left = _all(table, BI_PART, 1)
+        x, y, left = _all(table, BI_PART, BI_TURN + turn)
         keys, at, left = _sums(_key2(x, y), left)
         x, y = x[at], y[at]
-        known = _joint(keys, left, *_all(table, CONTEXT_PART, 2))
+        known = _joint(keys, left, *_all(table, CONTEXT_PART, CONTEXT_TURN + turn))
         out = [_row(3, table.column("bucket")[0].as_py(), _pack(KNOWN, *known), known[1])]
         words, _, before = _sums(y, np.ones(len(y), dtype=np.uint64))
         context, _, *follow = _sums(x, left, *_followed(left))
@@ -323,27 +347,33 @@ def _grouped(rows: DataFrame, run: Callable[[pa.Table], pa.Table], *kinds: int)
 def fit(texts: DataFrame) -> Model | None:
     """The model of the column ``text``, or None if there is no text."""
     spark = texts.sparkSession
+    mark = scratch_mark()
+    texts = materialise(texts.select("text"))
     size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     if not size["n"]:
+        release_at(mark)
         return None
     buckets = -(-(size["b"] or 1) // BUCKET_BYTES)
     turns = min(SLICES, -(-(size["b"] or 1) // SLICE_BYTES))
-    start = scratch_mark()
-    tri, parts = [], []
+    part_turns = min(PART_TURNS, turns)
+    kinds = [(BI_TURN + k, CONTEXT_TURN + k) for k in range(part_turns)]
+    tri, parts = [], [[] for _ in kinds]
     for turn in range(turns):
-        done, *more = _grouped(_trigram_parts(texts, buckets, turn, turns), _trigram_bucket(buckets), 0, 1, 2)
+        done, *more = _grouped(_trigram_parts(texts, buckets, turn, turns), _trigram_bucket(buckets, part_turns), 0, *sum(kinds, ()))
         tri.append(done)
-        parts.extend(more)
+        for k in range(part_turns):
+            parts[k].extend(more[2 * k : 2 * k + 2])
         _forget_shuffles(spark)
-    parts = reduce(DataFrame.union, parts)
+    release_at(mark)  # the texts; what came after begins at the mark now
     bi, words = [], []
-    for turn in range(turns):
-        done, more = _grouped(parts.where(F.col("bucket") % turns == turn), _bigram_bucket(buckets), 3, 4)
+    for turn in range(part_turns):
+        done, more = _grouped(reduce(DataFrame.union, parts[turn]), _bigram_bucket(buckets, turn), 3, 4)
         bi.append(done)
         words.append(more)
+        release_kinds(mark, "kind", kinds[turn])
         _forget_shuffles(spark)
     (uni,) = _grouped(reduce(DataFrame.union, words), _word_bucket, 5)
-    release_kinds(start, "kind", (1, 2, 4))
+    release_kinds(mark, "kind", (4,))
     tables = reduce(DataFrame.union, [*tri, *bi, uni])
     found = tables.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("rows", "total", "c1", "c2", "c3", "c4")]).collect()
     three, two, one = sorted(found, key=lambda r: r["kind"])
@@ -428,29 +458,63 @@ def _encoded(rows: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(run, "portion long, ids array<long>, langs array<string>, codes binary, names binary"))
 
 
-def _decoded(size: int, codes: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    (codes,), (names,) = _unpack("p", codes), _unpack("d", names)
-    n = codes[:size].astype(np.int64)
-    return _lines(names[codes[size:].astype(np.intp)], n)
-
-
-def _asked(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All trigram, bigram and word keys that the tokens need."""
-    return _key3(a, b, c), np.concatenate([_key2(a, b), _key2(b, c)]), np.concatenate([b, c])
+@dataclass
+class Portion:
+    """The tokens of a portion's texts: text number, place of the word and of the one before it in ``every``, keys of
+    the trigram and the bigram that end there, which tokens begin a text; all words, sorted, with START and END."""
+
+    owner: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    tri: np.ndarray
+    bi: np.ndarray
+    first: np.ndarray
+    every: np.ndarray
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All trigram, bigram and word keys that the tokens need, the bigram of two STARTs last."""
+        return self.tri, np.append(self.bi, STARTS), self.every
+
+
+def _shifted(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """For each token what ``x`` has for the one before it, ``start`` at the beginning of a text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = start
+    return out
 
 
-def _questions(encoded: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, portion, tri, bi, uni): distinct keys that a portion asks a bucket for."""
+def _decoded(size: int, codes: bytes, names: bytes) -> Portion:
+    (codes,), (names,) = _unpack("p", codes), _unpack("d", names)
+    n = codes[:size].astype(np.intp) + 1
+    every = _distinct(np.append(names, [START, END]))
+    start, end = np.searchsorted(every, np.array([START, END]))
+    last = np.cumsum(n) - 1
+    first = last + 1 - n
+    word = np.empty(n.sum(), dtype=np.intp)
+    inner = np.ones(len(word), dtype=bool)
+    inner[last] = False
+    word[last], word[inner] = end, np.searchsorted(every, names)[codes[size:].astype(np.intp)]
+    before = _shifted(word, first, start)
+    token = every[word]
+    bi = _key2(every[before], token)
+    tri = _mix(_shifted(bi, first, STARTS) * _A + token)
+    return Portion(np.repeat(np.arange(size), n), word, before, tri, bi, first, every)
+
+
+def _questions(encoded: DataFrame, buckets: int, turn: int, turns: int) -> DataFrame:
+    """(bucket, portion, tri, bi, uni): distinct keys that a portion asks every ``turns``-th bucket for."""
+    own = range(turn, buckets, turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for portion, size, codes, names in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                _, *abc = _decoded(size, codes, names)
-                keys = [np.unique(k) for k in _asked(*abc)]
+                keys = _decoded(size, codes, names).asked()
+                keys = [_distinct(k[_bucket(k, buckets) % np.uint64(turns) == turn]) for k in keys]
                 edges = [_edges(k, buckets) for k in keys]
-                packed = [[_pack("d", k[e[i] : e[i + 1]]) for i in range(buckets)] for k, e in zip(keys, edges, strict=True)]
+                packed = [[_pack("d", k[e[i] : e[i + 1]]) for i in own] for k, e in zip(keys, edges, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(buckets), pa.int32()), pa.array([portion] * buckets, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)],
+                    [pa.array(own, pa.int32()), pa.array([portion] * len(own), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)],
                     ["bucket", "portion", "tri", "bi", "uni"],
                 )
 
@@ -480,20 +544,22 @@ def _scored_by_buckets(rows: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_tokens, total of every text, by portions that ask the model's buckets."""
     spark, scorer, buckets = rows.sparkSession, model.scorer(), model.buckets
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    turns = max(1, min(SLICES, -(-size // SLICE_BYTES)))
+    turns = max(1, min(SCORE_SLICES, -(-size // SLICE_BYTES)))
+    asks = min(ASK_TURNS, buckets)
 
     def finish(portions: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("bucket")
         known = [_all(answers.select([c]).rename_columns(["data"]), how) for c, how in (("tri", "p"), ("bi", "ppppp"), ("uni", "ppppp"))]
         out = []
         for _, ids, langs, codes, names in zip(*portions.columns, strict=True):
-            owner, a, b, c = _decoded(len(ids), codes.as_py(), names.as_py())
-            three, two, one = (np.unique(k, return_inverse=True)[1] for k in _asked(a, b, c))
+            got = _decoded(len(ids), codes.as_py(), names.as_py())
+            owner, (three, two, _) = got.owner, got.asked()
+            three, two = (np.unique(k, return_inverse=True)[1] for k in (three, two))
             tri = scorer.term(0, known[0][0])[three]
-            m = len(owner)
-            total2, weight2 = (x[two[:m]] for x in scorer.context(0, *known[1][1:]))
-            total1, weight1 = (x[one[:m]] for x in scorer.context(1, *known[2][1:]))
-            bi, uni = scorer.term(1, known[1][0])[two[m:]], scorer.term(2, known[2][0])[one[m:]]
+            context2 = _shifted(two[:-1], got.first, two[-1])
+            total2, weight2 = (x[context2] for x in scorer.context(0, *known[1][1:]))
+            total1, weight1 = (x[got.before] for x in scorer.context(1, *known[2][1:]))
+            bi, uni = scorer.term(1, known[1][0])[two[:-1]], scorer.term(2, known[2][0])[got.word]
             total = np.bincount(owner, scorer.log10(tri, total2, weight2, bi, total1, weight1, uni), minlength=len(ids))
             out.append(_scores(pa.array(ids.values), pa.array(langs.values), np.bincount(owner, minlength=len(ids)) - 1, total))
         return pa.Table.from_batches(out)
@@ -503,8 +569,14 @@ def _scored_by_buckets(rows: DataFrame, model: Model) -> DataFrame:
         mark = scratch_mark()
         encoded = _encoded(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(turns)) == turn))
         _forget_shuffles(spark)  # once more: until another job ran, the JVM holds on to the last one's plan
-        answers = _questions(encoded, buckets).groupBy("bucket").cogroup(model.tables.select("kind", "bucket", "data").groupBy("bucket"))
-        answers = answers.applyInArrow(_answer, "bucket int, portion long, tri binary, bi binary, uni binary")
+        answers = []
+        for ask in range(asks):
+            questions = _questions(encoded, buckets, ask, asks)
+            tables = model.tables.where(F.col("bucket") % asks == ask).select("kind", "bucket", "data")
+            found = questions.groupBy("bucket").cogroup(tables.groupBy("bucket"))
+            answers.append(materialise(found.applyInArrow(_answer, "bucket int, portion long, tri binary, bi binary, uni binary")))
+            _forget_shuffles(spark)
+        answers = reduce(DataFrame.union, answers)
         parts.append(materialise(encoded.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(finish, _SCORES)))
         release_but_last(mark)
         _forget_shuffles(spark)
@@ -519,9 +591,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mos
     learnt = good.where(fold(F.col("good_id"), HELD_BACK) != 0) if most is None else sample(docs, good, most)
     # only texts that the bitmap lets through move
     text, _ = sifted(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), sieve(learnt, "good_id"), "id")
-    mark = scratch_mark()
-    model = fit(materialise(text.join(learnt, F.col("id") == F.col("good_id"), "left_semi").select("text")))
-    release_at(mark)
+    model = fit(text.join(learnt, F.col("id") == F.col("good_id"), "left_semi").select("text"))
     _forget_shuffles(docs.sparkSession)
     df = materialise(scored(docs, model))
     unseen = good.join(learnt, "good_id", "left_anti")

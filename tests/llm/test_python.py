@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry import scratch
 from docquarry.llm import common, components, gru_lm, html_extract, kneser_ney, langid, ngram_join, packing, queries
 
 
@@ -524,6 +525,36 @@ def test_buckets_and_turns_leave_perplexities_alone(spark, data, monkeypatch):
         assert a[3] is None or a[3] == pytest.approx(b[3], rel=1e-4)
 
 
+def test_parts_of_bigrams_go_turn_by_turn(spark, data, monkeypatch):
+    """Training texts and parts that are summed hold no disk while the rest is counted."""
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 30_000)
+    monkeypatch.setattr(kneser_ney, "SLICE_BYTES", 60_000)
+    mark, left = len(scratch._scratch), []
+
+    def look(_):
+        files = [f for _, path in scratch._scratch[mark:] for f in Path(path.removeprefix("file://")).rglob("*.parquet")]
+        left.append(sum(f.stat().st_size for f in files if f.parent.name not in ("kind=0", "kind=3", "kind=4", "kind=5")))
+
+    monkeypatch.setattr(kneser_ney, "_forget_shuffles", look)
+    kneser_ney.fit(spark.read.parquet(f"{data}/documents.parquet").select("text"))
+    assert left[-1] == 0 and all(a > b for a, b in zip(left[-4:], left[-3:], strict=False))
+
+
+def test_portions_ask_for_all_their_ngrams():
+    texts = [b"", b"a b a b c", b"Zz", b"", b"a b", b" "]
+    shingler = ngram_join.Shingler()
+    word, n = kneser_ney._words(texts, shingler)
+    names, place = np.unique(word, return_inverse=True)
+    got = kneser_ney._decoded(len(texts), kneser_ney._pack("p", np.concatenate([n, place])), kneser_ney._pack("d", names))
+    owner, a, b, c = kneser_ney._tokens(texts, shingler)
+    bi = set(got.asked()[1].tolist())
+    assert got.owner.tolist() == owner.tolist() and got.tri.tolist() == kneser_ney._key3(a, b, c).tolist()
+    assert got.bi.tolist() == kneser_ney._key2(b, c).tolist() and bi >= set(kneser_ney._key2(a, b).tolist())
+    assert got.every[got.before].tolist() == b.tolist() and got.every[got.word].tolist() == c.tolist()
+    for keys in (got.tri, got.bi[:0], got.bi[:1]):
+        assert kneser_ney._distinct(keys).tolist() == np.unique(keys).tolist()
+
+
 # Recurrent scoring
 
 
