@@ -244,6 +244,33 @@ def test_master_in_chunks_and_names_in_slices(spark):
     assert got == {f"name {k:02d}": (f"name {k:02d}", 100.0) for k in range(25)} | {None: (None, 0.0)}
 
 
+def test_whole_matches_equal_comparisons(spark):
+    """Keys that hold one another, words in another order, ties and positions with gaps, against the plain loop."""
+    from docquarry.functions import fuzzy
+    from docquarry.functions.text import match_key
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["ab", "a", "xt", "742", "xt 7", "b a", "é"], int(rng.integers(1, 4)))) for _ in range(60)]
+    master = spark.createDataFrame([(int(k) * 10**9, t) for k, t in zip(rng.permutation(40), texts[:40])] + [(3, None), (4, "Traders")], "pos long, name string")
+    names = spark.createDataFrame([(t.upper(),) for t in texts] + [("zz",), ("ztt",)], "name string").distinct()
+    keyed = lambda df: df.where("name is not null").withColumn("k", match_key("name")).collect()
+    options = sorted((r["pos"], r["k"], r["name"]) for r in keyed(master))
+    want = {}
+    for r in keyed(names):
+        score, neg, matched = max((fuzzy.best("model", r["k"], k), -pos, name) for pos, k, name in options)
+        want[r["name"]] = (matched, round(score, 6)) if score > 0 else (None, 0.0)
+    got = {r["name"]: (r["matched"], round(r["score"], 6)) for r in matching.match_names(names, master, "model", chunk=7, slice_=4).collect()}
+    assert got == want and sum(s == 100 for _, s in want.values()) > 20 and any(0 < s < 100 for _, s in want.values())
+
+
+def test_exact_names_are_not_compared(spark, monkeypatch):
+    master = spark.range(4000).selectExpr("id * 1000000000 as pos", "concat('name ', id) as name")
+    monkeypatch.setattr(matching, "_compared", lambda *a: pytest.fail("every name equals a row of the list"), raising=False)
+    rows = matching.match_names(master.selectExpr("upper(name) as name", "pos as p"), master, "model")
+    # 'name 12' is a part of 'name 120', which comes later
+    assert rows.where("score <> 100").count() == 0 and rows.where("name = 'NAME 12'").first()["matched"] == "name 1"
+
+
 def test_circles():
     y, x = np.mgrid[:200, :240]
     ring = np.abs(np.hypot(y - 90, x - 130) - 50) < 3
