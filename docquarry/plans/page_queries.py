@@ -194,17 +194,27 @@ def missing_keys(spark, sf):
     return derived(spark, sf, "orders", KEYS).select("o_orderkey", F.array_join(records.missing_in(F.col("json")), ",").alias("missing"))
 
 
+# two names match whole where their keys hold one another or have the same words; the first dealer that does is taken
 @query(
-    f"""with d as (select {DEALER_INPUT} from supplier) select s_suppkey, upper(raw) as name, raw as matched, 100.0::double as score, raw as resolved from d where raw not like '%.MOTORS' and raw not like '% & Sons Co.'
-  and (select count(*) from d e where lower(e.raw) = lower(d.raw)) = 1"""
+    f"with d as (select {DEALER_INPUT} from supplier), k0 as (select s_suppkey, raw, lower(raw) as k from d), "
+    r"""k1 as (select *, trim(regexp_replace(k, '\s+', ' ', 'g')) as a1 from k0), k2 as (select *, trim(regexp_replace(a1, '\bpvt\.?\s*ltd\.?\b', '', 'g')) as a2 from k1),
+  k3 as (select *, trim(regexp_replace(a2, '\bltd\.?\b', '', 'g')) as a3 from k2), k4 as (select *, trim(regexp_replace(a3, '\bco\.?\b', '', 'g')) as a4 from k3),
+  k5 as (select *, trim(regexp_replace(a4, '\bprivate\s+limited\b', '', 'g')) as a5 from k4), k6 as (select *, trim(regexp_replace(a5, '\blimited\b', '', 'g')) as a6 from k5),
+  k7 as (select *, trim(regexp_replace(a6, '\btraders?\b', '', 'g')) as a7 from k6), k8 as (select *, trim(regexp_replace(a7, '\bagenc(?:y|ies)\b', '', 'g')) as a8 from k7),
+  keyed as (select s_suppkey, raw, trim(regexp_replace(regexp_replace(a8, '\benterprises?\b', '', 'g'), '\s+', ' ', 'g')) as key from k8),
+  u as (select key, list_aggregate(list_sort(string_split(key, ' ')), 'string_agg', ' ') as words, min(struct_pack(pos := s_suppkey, key := key, raw := raw)) as m from keyed where key <> '' group by 1),
+  n as (select distinct length(key) as n from u), parts as (select distinct key, substr(key, i, n) as part from (select key, n, unnest(generate_series(1, length(key) - n + 1)) as i from u, n where n <= length(key))),
+  hits as (select part as key, m from parts join u using (key) where part in (select key from u) union all select parts.key, m from parts join u on part = u.key union all select a.key, b.m from u a join u b using (words)),
+  best as (select key, min(m) as m from hits group by 1)
+  select s_suppkey, upper(raw) as name, m.raw as matched, case when m is null then 0 else 100 end::double as score, coalesce(m.raw, upper(raw)) as resolved from keyed left join best using (key)"""
 )
 def resolve_names(spark, sf):
-    """Names in capitals find themselves in the list of all dealers and are resolved to its spelling."""
+    """Names in capitals find themselves, or an earlier dealer with as much of a name, in the list of all dealers and are
+    resolved to its spelling."""
     from ..operators import matching
 
     raw = derived(spark, sf, "supplier", DEALER_INPUT)
-    single = raw.join(raw.groupBy(F.lower("raw").alias("k")).count().where("count = 1"), F.lower("raw") == F.col("k"), "left_semi")
-    names = single.where("raw not like '%.MOTORS' and raw not like '% & Sons Co.'").select("s_suppkey", F.upper("raw").alias("name"))
+    names = raw.select("s_suppkey", F.upper("raw").alias("name"))
     master = raw.select(F.col("s_suppkey").alias("pos"), F.col("raw").alias("name"))
     return matching.resolve(names, master, "model").select("s_suppkey", "name", "matched", "score", "resolved")
 

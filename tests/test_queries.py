@@ -85,6 +85,12 @@ def test_models_meet_the_whole_list(spark, data):
         assert (r["matched"], round(r["score"], 6)) == (name, round(score, 6))
 
 
+def test_every_dealer_is_resolved(spark, data):
+    rows = QUERIES["resolve_names"](spark, data).collect()
+    assert sorted(r["s_suppkey"] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey").collect())
+    assert any(r["name"].endswith(".MOTORS") for r in rows) and any(r["name"].endswith("& SONS CO.") for r in rows)
+
+
 def test_records_equal_brute_force(spark, data):
     """The whole path, stage outputs joined and merged in plain Python."""
     from docquarry.functions import fuzzy
