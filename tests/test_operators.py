@@ -271,6 +271,19 @@ def test_exact_names_are_not_compared(spark, monkeypatch):
     assert rows.where("score <> 100").count() == 0 and rows.where("name = 'NAME 12'").first()["matched"] == "name 1"
 
 
+def test_positions_of_many_files(spark):
+    """Enough rows that two sorts of them are cut into different partitions."""
+    files = spark.range(300000).selectExpr("concat('/in/', lpad(cast(id * 7919 % 1000003 as string), 7, '0')) as path", "repeat(md5(cast(id as string)), 8) as note")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        got = documents.positions(files).selectExpr("count(*) n", "count(distinct pos) d", "min(pos) a", "max(pos) z", "sum(pos * (cast(substr(path, 5) as long) % 1000)) s", "max(note) m").first()[:5]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    numbers = sorted(k * 7919 % 1000003 for k in range(300000))
+    assert tuple(got) == (300000, 300000, 0, 299999, sum(pos * (v % 1000) for pos, v in enumerate(numbers)))
+
+
 def test_circles():
     y, x = np.mgrid[:200, :240]
     ring = np.abs(np.hypot(y - 90, x - 130) - 50) < 3
