@@ -271,6 +271,17 @@ def test_exact_names_are_not_compared(spark, monkeypatch):
     assert rows.where("score <> 100").count() == 0 and rows.where("name = 'NAME 12'").first()["matched"] == "name 1"
 
 
+def test_tables_of_one_file_and_of_several(spark, tmp_path):
+    from docquarry.plans import catalog
+
+    root = tmp_path / "a b+%41"
+    for name in ("beta.parquet", "delta.parquet/part-0.parquet", "delta.parquet/part-1.parquet", "gamma.parquet/x=1/part-0.parquet", "alpha.PARQUET", "notes.txt", "other/part-0.parquet"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    rows = catalog.queries()["scan_tables"](spark, str(root)).orderBy("pos").collect()
+    assert [(r["doc_id"], r["pos"]) for r in rows] == [("alpha", 0), ("beta", 1), ("delta", 2), ("gamma", 3)]
+
+
 def test_positions_of_many_files(spark):
     """Enough rows that two sorts of them are cut into different partitions."""
     files = spark.range(300000).selectExpr("concat('/in/', lpad(cast(id * 7919 % 1000003 as string), 7, '0')) as path", "repeat(md5(cast(id as string)), 8) as note")
