@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import amounts, coerce, geometry, text
 from ..operators import blocks as block_ops
 from ..operators import images, portfolio, records, signatures
 from ..sources import documents, models
 from .catalog import B, BLOCKS, DEALER_INPUT, HP_SQL, RESPONSE, STROKE_OK, STROKES, _blocks, _strokes, best_sql, star_sql
-from .registry import derived, query
+from .registry import derived, query, table
 
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
@@ -281,13 +284,27 @@ SIDE = 12
 _PIXEL = "(p_partkey * 37 + (i // 12) * (i // 12) * 11 + (i % 12) * (p_partkey % 7) * 5 + c * 83) % 256"
 
 
+PAGES = 10_000  # pages that one task makes
+
+
+@F.pandas_udf(BinaryType())
+def _pixels(key: pd.Series) -> pd.Series:
+    """The bytes of the page of each part: sums modulo 256, so bytes that wrap do."""
+    y, x, c = np.mgrid[:SIDE, :SIDE, :3].reshape(3, -1)
+    patterns = np.array([(y * y * 11 + x * k * 5 + c * 83) % 256 for k in range(7)], dtype=np.uint8)
+    k = key.fillna(0).to_numpy(dtype=np.int64)
+    data = ((k * 37 % 256).astype(np.uint8)[:, None] + patterns[k % 7]).tobytes()
+    return pd.Series([data[i : i + len(y)] for i in range(0, len(data), len(y))], dtype=object).where(key.notna().to_numpy(), None)
+
+
 def page_images(spark: SparkSession, sf: str) -> DataFrame:
-    """Images of SIDE by SIDE pixels in Spark's layout (BGR), one for each part."""
-    i, c = f"cast(floor(k / 3) as bigint) div {SIDE}", "k % 3"
-    pixel = f"(p_partkey * 37 + ({i}) * ({i}) * 11 + (cast(floor(k / 3) as bigint) % {SIDE}) * (p_partkey % 7) * 5 + {c} * 83) % 256"
-    data = f"unhex(array_join(transform(sequence(0, {SIDE * SIDE * 3 - 1}), k -> lpad(hex({pixel}), 2, '0')), ''))"
-    shape = f"'height', {SIDE}, 'width', {SIDE}, 'nChannels', 3"
-    return derived(spark, sf, "part", f"cast(p_partkey as varchar(20)) as doc_id, named_struct({shape}, 'data', {data}) as image")
+    """Images of SIDE by SIDE pixels in Spark's layout (BGR), one for each part.
+
+    Keys are dealt over tasks by the number of pages: a small file of keys, which one task reads, makes many pages."""
+    parts = table(spark, sf, "part").select("p_partkey")
+    parts = parts.repartition(max(1, -(-parts.count() // PAGES)), "p_partkey")
+    image = F.struct(F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(3).alias("nChannels"), _pixels("p_partkey").alias("data"))
+    return parts.select(F.col("p_partkey").cast("string").alias("doc_id"), image.alias("image"))
 
 
 @query(

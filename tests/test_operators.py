@@ -271,6 +271,19 @@ def test_exact_names_are_not_compared(spark, monkeypatch):
     assert rows.where("score <> 100").count() == 0 and rows.where("name = 'NAME 12'").first()["matched"] == "name 1"
 
 
+def test_pages_of_one_file_spread_over_tasks(spark, tmp_path):
+    from docquarry.plans import page_queries
+
+    keys = spark.range(25000).selectExpr("case when id = 7 then null else id end as p_partkey")
+    keys.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = page_queries.page_images(spark, str(tmp_path)).select("doc_id", F.spark_partition_id().alias("task"), "image.data").collect()
+    sizes = [sum(r["task"] == k for r in rows) for k in {r["task"] for r in rows}]
+    assert len(rows) == 25000 and len(sizes) == 3 and max(sizes) < 10000
+    data = {r["doc_id"]: r["data"] for r in rows}
+    want = bytes((12345 * 37 + y * y * 11 + x * (12345 % 7) * 5 + c * 83) % 256 for y in range(12) for x in range(12) for c in range(3))
+    assert bytes(data["12345"]) == want and data[None] is None
+
+
 def test_tables_of_one_file_and_of_several(spark, tmp_path):
     from docquarry.plans import catalog
 
