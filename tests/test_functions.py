@@ -148,3 +148,18 @@ def test_published_scores():
     assert fuzzy.token_sort_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == pytest.approx(84.21052631578947)
     assert fuzzy.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
     assert fuzzy.weighted_ratio("this is a test", "this is a new test!!!") == pytest.approx(85.5)
+
+
+def test_shortcuts_for_plain_text_change_nothing(spark):
+    """Clean ASCII takes a short way; other texts, digits and spaces take the long one, to the same ends."""
+    from docquarry.functions import amounts, text
+
+    said = ["45 HP", "h.\u2003p. 45", "H.\u00a0P. : ४५", "Horse \u2003 Power 60", "हा.पा. ६०", "php 9", "hop 45", "SHP", " 12\t hp", "300 HP 20 h.p", "", None]
+    paid = ["Total 3,45,678/-", "Rs. 12\u00a0345", "  1,00,000  ", "२,००,०००", "12 34", "रु. 5,000.50", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string")
+    for compose in (True, False):
+        assert [r[0] for r in df.orderBy("k").select(amounts.extract_hp(F.col("t"), compose)).collect()] == [45, 45, 45, 60, 60, 9, None, None, 12, 20, None, None]
+        rows = spark.createDataFrame([(k, t) for k, t in enumerate(paid)], "k int, t string").orderBy("k").select(amounts.extract_all_amounts(F.col("t"), compose)).collect()
+        assert [r[0] for r in rows] == [[345678], [12345], [100000], [200000], [1234], [5000], [], None]
+    names = spark.createDataFrame([("shiv agro ÉCLAIR élan 7x ñu-a ", "Shiv Agro Éclair Élan 7X Ñu-A ")], "a string, b string")
+    assert names.select(text.title(F.col("a")) == F.col("b")).first()[0]
